@@ -104,6 +104,14 @@ def _is_word() -> np.ndarray:
     return ok
 
 
+@lru_cache(None)
+def alnum_word() -> np.ndarray:
+    """Bytes of words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of lower-cased text: digits, letters and all beyond ASCII."""
+    ok = np.zeros(256, bool)
+    ok[48:58] = ok[65:91] = ok[97:123] = ok[128:] = True
+    return ok
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of an array of strings (null: empty), and the offsets of its rows."""
     texts = texts.fill_null("").cast(pa.large_string())
@@ -117,12 +125,12 @@ class Words:
 
     __slots__ = ("count", "data", "end", "first", "hash", "start", "base")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, is_word: np.ndarray | None = None):
         lo, hi = int(offsets[0]), int(offsets[-1])
         part = data[lo:hi]
         rel = offsets - lo
         ok = np.zeros(len(part) + 2, np.int8)
-        ok[1:-1] = _is_word()[part]
+        ok[1:-1] = (_is_word() if is_word is None else is_word)[part]
         step = np.diff(ok)
         starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         # a text's end also ends a word, where the next text begins with one

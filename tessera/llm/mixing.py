@@ -4,8 +4,8 @@ targets() fills the weights: every source gets its share of all words, stops at
 anew. A source at ratio r takes each document floor(r) times; the fraction of r is left to a balanced sample: every
 document starts with that inclusion probability, and the flight phase moves the probabilities of three documents at a
 time along the null space of the two balancing equations (words and documents of the source), until one of them is 0 or
-1. So every step keeps both totals. At most two documents a group stay undecided; a second flight over those of one
-source leaves two a source, the landing, decided so that words come nearest the target.
+1. So every step keeps both totals. At most two documents a group stay undecided, and a few wait; a second flight over
+those of one source leaves a dozen, the landing: of their subsets, the one whose words come nearest the target.
 
 Groups are (source, hash of doc_id) with a number of groups that follows a source's rows, so a hot source is many small
 tasks, and results don't depend on partitions. Only (doc_id, source, size) is shuffled.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import clean_name, cut, n_words
 
-WEIGHTS, CAP, GROUP_ROWS, SEED = (1.0, 2.0, 3.0), 3.0, 4000, 20240
+WEIGHTS, CAP, GROUP_ROWS, HELD, SEED = (1.0, 2.0, 3.0), 3.0, 4000, 10, 20240
 
 
 def fill_targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, cap: float = CAP) -> dict[str | None, float]:
@@ -77,21 +77,34 @@ def _draws(ids: pd.Series, seed: int) -> np.ndarray:
 
 
 def cube_flight(frame: pd.DataFrame) -> pd.DataFrame:
+    """Flight over one group. Of a source's first group the HELD units with the least draws wait for the landing."""
     frame = frame.sort_values(["doc_id", "size", "unit"], kind="stable", na_position="first").reset_index(drop=True)
-    frame["p"] = _flight(frame["p"].to_numpy(), frame["size"].to_numpy(np.float64).tolist(), _draws(frame["doc_id"], SEED))
+    draws = _draws(frame["doc_id"], SEED)
+    fly = np.ones(len(frame), bool)
+    if frame["bucket"].iloc[0] == 0:
+        fly[np.argsort(draws, kind="stable")[:HELD]] = False
+    p, x = frame["p"].to_numpy().copy(), frame["size"].to_numpy(np.float64)
+    p[fly] = _flight(p[fly], x[fly].tolist(), draws[fly])
+    p[~fly] = np.where((p[~fly] < 1e-9) | (p[~fly] > 1 - 1e-9), np.round(p[~fly]), p[~fly])
+    frame["p"] = p
     return frame
 
 
 def cube_landing(frame: pd.DataFrame) -> pd.DataFrame:
-    """A second flight over what all groups of a source left, then the two last ones by the nearest total."""
-    wanted = float((frame["p"] * frame["size"]).sum())
-    frame = cube_flight(frame)
+    """A second flight over what the groups of a source left, until HELD + 2 units are open; of their subsets, the one
+    with the nearest totals: words first, then documents."""
+    frame = frame.sort_values(["doc_id", "size", "unit"], kind="stable", na_position="first").reset_index(drop=True)
     p, x = frame["p"].to_numpy().copy(), frame["size"].to_numpy(np.float64)
+    words, count = float((p * x).sum()), float(p.sum())
+    draws = _draws(frame["doc_id"], SEED + 1)
+    fly = np.ones(len(frame), bool)
+    fly[np.argsort(draws, kind="stable")[:HELD]] = False
+    p[fly] = _flight(p[fly], x[fly].tolist(), draws[fly])
     rest = np.flatnonzero((p > 0) & (p < 1))
-    fixed = float((np.where((p > 0) & (p < 1), 0, p) * x).sum())
-    best = min(range(1 << len(rest)), key=lambda m: (abs(fixed + sum(x[r] for i, r in enumerate(rest) if m >> i & 1) - wanted), m))
-    for i, r in enumerate(rest):
-        p[r] = best >> i & 1
+    sets = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1
+    p[rest] = 0
+    off = np.abs(sets @ x[rest] + float((p * x).sum()) - words) + 0.5 * np.abs(sets.sum(1) + p.sum() - count)
+    p[rest] = sets[int(np.argmin(off))]
     frame["p"] = p
     return frame
 

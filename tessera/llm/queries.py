@@ -13,12 +13,38 @@ def op1_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii(spark, sf_dir):
+    from .pii import detect, digest
+
+    return digest(detect(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
+def op5_license(spark, sf_dir):
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op6_quality(spark, sf_dir):
+    from .quality import quality
+
+    keep = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality(table(spark, sf_dir, "documents")).select(*keep)
+
+
 def op7_token_ids(spark, sf_dir):
     from .token_files import token_output
 
     return token_output(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_packing(spark, sf_dir):
     from .packing import pack_documents
 
