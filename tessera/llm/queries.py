@@ -51,6 +51,12 @@ def op9_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op10_substring_dedup(spark, sf_dir):
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
