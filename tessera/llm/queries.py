@@ -13,12 +13,24 @@ def op1_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_join(spark, sf_dir):
+    from .ngram_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark, sf_dir):
     from .pii import detect, digest
 
     return digest(detect(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op4_embedding_dedup(spark, sf_dir):
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_license(spark, sf_dir):
     from .license_scan import scan
 
