@@ -119,7 +119,7 @@ def source_targets(units: DataFrame, weights=WEIGHTS, cap: float = CAP) -> list[
 def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """doc_id, unit (tells rows of one doc_id apart), size, source_size, target, copies, taken; a row a document."""
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("unit"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("text", "source").alias("unit"))
     units = cut(sized, "units")
     sources = source_targets(units, weights, cap)
     schema = "source string, source_size long, rows long, target double"
@@ -142,11 +142,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """The mix itself: docs' columns, each row as many times as the mix takes it."""
     unit, times, key = (clean_name(docs, x) for x in ("mix_unit", "mix_times", "mix_doc"))
-    # rows that agree in doc_id and text are interchangeable: they share their copies in any order
+    # rows that agree in doc_id, text and source are interchangeable: they share their copies in any order
     order = clean_name(docs, "mix_nth")
     takes = mix(docs, weights, cap).select(F.col("doc_id").alias(key), F.col("unit").alias(unit), F.col("copies").alias(times))
     takes = takes.withColumn(order, F.row_number().over(Window.partitionBy(key, unit).orderBy(F.desc(times))))
-    numbered = docs.withColumn(unit, F.xxhash64("text")).withColumn(order, F.row_number().over(Window.partitionBy("doc_id", unit).orderBy(F.lit(1))))
+    numbered = docs.withColumn(unit, F.xxhash64("text", "source")).withColumn(order, F.row_number().over(Window.partitionBy("doc_id", unit).orderBy(F.lit(1))))
     same = numbered["doc_id"].eqNullSafe(takes[key]) & (numbered[unit] == takes[unit]) & (numbered[order] == takes[order])
     joined = numbered.join(takes, same).where(F.col(times) > 0)
     return joined.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[docs[c] for c in docs.columns])

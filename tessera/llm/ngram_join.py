@@ -261,7 +261,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the least doc_id; documents that link with nothing stay, rows that repeat a doc_id go."""
+    """docs with one document of each component: the least doc_id; documents that link with nothing stay, rows that repeat a doc_id stay or go together."""
     node = clean_name(docs, "join_node")
     gone = links(docs).where(F.col("node") != F.col("component")).select(F.col("node").alias(node))
     return docs.join(gone, docs["doc_id"] == gone[node], "left_anti")
