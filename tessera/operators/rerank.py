@@ -29,8 +29,9 @@ def weights(use_sparse: bool = True) -> dict[str, float]:
 def score(cands: DataFrame, profile: DataFrame, passages: DataFrame, use_sparse: bool = True) -> DataFrame:
     """cands with dense_s, sparse_s, coverage, heading and cross; passages: key, title, section, body (the embedded text)."""
     w = weights(use_sparse)
-    facts = passages.select("key", T.tokens(F.col("body")).alias("own"), T.tokens(F.concat_ws(" ", "section", "title")).alias("head"))
-    joined = cands.join(facts, "key").join(profile, "qid", "left")
+    # passages meet their candidates first, so only these are tokenised
+    joined = cands.join(passages.select("key", "body", F.concat_ws(" ", "section", "title").alias("head")), "key")
+    joined = joined.withColumns({"own": T.tokens(F.col("body")), "head": T.tokens(F.col("head"))}).drop("body").join(profile, "qid", "left")
     own = F.array_distinct(F.concat("own", F.transform("own", lambda t: F.left(t, F.lit(5)))))
     joined = joined.withColumn("own", own)
     total = F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["idf"])

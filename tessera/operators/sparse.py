@@ -33,7 +33,7 @@ def search(docs: DataFrame, queries: DataFrame, qid: str, question: str, k: int,
     """qid, key, sparse, sparse_rank (from 0): the k best by BM25; ties by key."""
     terms = query_terms(queries, qid, question)
     # only postings of terms that are asked for are counted and joined
-    asked = postings(docs, key, text).join(terms.select("term").distinct(), "term", "left_semi")
+    asked = postings(docs, key, text).join(terms.select("term").distinct(), "term", "left_semi").cache()
     df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = F.broadcast(corpus_stats(docs, text))  # one row
     weights = terms.join(df, "term").crossJoin(stats).select("qid", "term", "times", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
