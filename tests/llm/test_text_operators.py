@@ -1,0 +1,257 @@
+"""Operators on texts against brute force, with nulls, blanks, copies, clashing columns and empty tables."""
+
+import zlib
+from collections import defaultdict
+
+import fixtures as fx
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, common, license_scan, mixing, ngram_join, packing, pii, quality, substring_dedup, token_files, toxicity
+
+ROWS = [(r[0], r[1]) for r in fx.rows()]
+
+
+def collect(df, *cols):
+    return sorted(((r.doc_id, *(r[c] for c in cols)) for r in df.collect()), key=str)
+
+
+def test_words_and_windows():
+    texts = pa.array(["ab", "cd e", "", None, " x ", "AB CD e"])
+    (_, _, data, offsets), = common.chunks(texts)
+    w = common.Words(data, offsets, True)
+    assert w.count.tolist() == [1, 2, 0, 0, 1, 3] and w.hash[0] == w.hash[4] and w.hash[1] == w.hash[5]
+    h, ok = w.windows(2)
+    assert ok.tolist() == [False, True, False, False, True, True, False] and h[1] == h[5]
+
+
+def test_quality_measures(docs, empty):
+    got = {(r.doc_id, r.n_words): r for r in quality.quality(docs).collect()}
+    for k, t in ROWS:
+        m = fx.measured(t)
+        r = got[(k, m[0])]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == m
+        assert r.base_failed == (m[0] < 20 or 100 * m[4] > 30 * m[0]) and not (r.base_failed and r.kept)
+    assert quality.quality(empty).count() == 0
+
+
+def test_licences(docs, empty):
+    want = sorted(((k, *fx.licences(t)) for k, t in ROWS), key=str)
+    out = license_scan.scan(docs.drop("score")).cache()
+    assert collect(out, "n_words", "n_base", "first_word", "last_word", "base_labels") == want
+    assert [r.labels for r in out.collect() if r.doc_id == 19] == ["gpl-3"]
+    assert license_scan.scan(empty).count() == 0
+
+
+def test_personal_data(docs, empty):
+    got = collect(pii.digest(pii.detect(docs.drop("spans"), keep=["doc_id"])), "base_sha256")
+    assert got == sorted(((k, fx.personal(t)) for k, t in ROWS), key=str)
+    assert pii.digest(pii.detect(empty, "spans_", ["doc_id"]), "spans_").count() == 0
+
+
+def test_redaction_covers_overlaps(docs):
+    out = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert "ann@" not in out[16].text and "<email>" in out[16].text and "<card>" in out[16].text and "<phone>" in out[16].text and "1.2.3.999" in out[16].text
+    assert out[0].text == ROWS[0][1] and out[4].text is None and out[16].spans == "x"
+
+
+def test_prefix_sums_over_many_spans(spark):
+    t = "é " + "1.1.1.1 " * 300
+    d = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    assert pii.digest(pii.detect(d, keep=["doc_id"])).first().base_sha256 == fx.personal(t)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_ngram_join(spark, seed):
+    rows = [(r[0], r[1]) for r in fx.rows(seed)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {k: fx.shingles(t) for k, t in rows if k is not None}
+    want = fx.components(sets)
+    got = ngram_join.jaccard_join(d).collect()
+    assert len(got) == len(rows)
+    assert all(r.component_id == want[r.doc_id] and r.n_shingles == len(sets[r.doc_id]) for r in got if r.doc_id is not None)
+    assert [r.component_id for r in got if r.doc_id is None] == [None]
+
+
+def test_ngram_join_of_near_copies(spark):
+    rng = np.random.default_rng(1)
+    base = [f"v{i}" for i in rng.integers(0, 5000, 120)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for _ in range(rng.integers(0, 7)):
+            w[rng.integers(0, len(w))] = f"n{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = fx.components({k: fx.shingles(t) for k, t in rows})
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_join(d).collect()} == want
+
+
+def test_index_keys_of_small_sets_meet():
+    """Every pair of similar small sets shares a key, also where one segment holds all shingles."""
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    rng = np.random.default_rng(0)
+    for n in (3, 4, 5, 8, 20, 700, 1000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for extra in {1, n // 4, n // 3} - {0}:
+            b = np.unique(np.concatenate([a, rng.integers(0, 2**63, extra, dtype=np.uint64)]))
+            if 100 * len(a) < 75 * len(b):
+                continue
+            row = np.repeat([0, 1], [len(a), len(b)])
+            r, key = ngram_join.index_keys(row, np.concatenate([a, b]), 2, none)
+            assert set(key[r == 0].tolist()) & set(key[r == 1].tolist()), (n, extra)
+
+
+def test_ngram_join_of_nothing(empty):
+    assert ngram_join.jaccard_join(empty).count() == 0
+
+
+def test_substring_dedup(docs, empty):
+    known = [(k, t) for k, t in ROWS if k is not None]
+    want = fx.repeats(known)
+    got = substring_dedup.remove_repeats(docs).collect()
+    assert len(got) == len(ROWS)
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
+        else:
+            assert r.n_removed == 0
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_cover_is_a_difference_cover():
+    assert {(a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER} == set(range(substring_dedup.PERIOD))
+
+
+def encoded(text, end):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.default_tokenizer())
+    tok.encode_special_tokens = True
+    return [*tok.encode(text or "", add_special_tokens=False).ids, end]
+
+
+def test_units_never_change_ids():
+    rng = np.random.default_rng(2)
+    letters = list("ab'sé .\n\t  ,$1×ç二\x1c") + [" ", "\xa0", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(3000)]
+    enc = bpe.Encoder(bpe.default_tokenizer(), most_units=500)
+    for first, ids, n in enc.encode(pa.array(texts)):
+        ends = np.cumsum(n)
+        for k in range(0, len(n), 7):
+            assert ids[ends[k] - n[k] : ends[k]].tolist() == encoded(texts[first + k], 0)[:-1]
+
+
+@pytest.mark.parametrize("bits", [1, 8, 13, 16, 17, 32])
+def test_bit_packing_round_trip(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 999, dtype=np.uint64).astype(np.uint32)
+    raw = token_files.pack(ids, bits)
+    assert (token_files.unpack(raw, bits, 0, 999) == ids).all() and (token_files.unpack(raw, bits, 17, 100) == ids[17:117]).all()
+    assert len(raw) <= 999 * bits // 8 + 1
+
+
+def test_token_files(spark, docs, empty, tmp_path):
+    path = str(tmp_path / "t")
+    token_files.write_tokens(docs, path, bpe.default_tokenizer(), 2, block_ids=500)
+    got = sorted(token_files.read_tokens(spark, path, with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((k for k, _ in ROWS), key=lambda k: -1 if k is None else k)
+    at, texts = 0, defaultdict(list)
+    for k, t in ROWS:
+        texts[k].append(t)
+    for r in got:
+        want = encoded(texts[r.doc_id].pop(0), 2)
+        assert (r.start, r.n_tokens, list(r.ids)) == (at, len(want), want)
+        assert r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
+        at += len(want)
+    some = token_files.read_tokens(spark, path, doc_ids=[3, 5]).collect()
+    assert sorted(r.doc_id for r in some) == [3, 5]
+    assert token_files.token_output(empty).count() == 0
+
+
+def test_packing_loses_nothing(docs, empty):
+    got = packing.pack_documents(docs).collect()
+    by_row, by_seq = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_row[r.row].append(r)
+        by_seq[r.sequence_id].append(r)
+    assert len(by_row) == len(ROWS)
+    left = defaultdict(list)
+    for k, t in ROWS:
+        left[k].append(t)
+    for pieces in by_row.values():
+        pieces.sort(key=lambda r: r.start)
+        ids = encoded(left[pieces[0].doc_id].pop(), 0) if pieces[0].doc_id is not None else encoded(left[None].pop(), 0)
+        at = 0
+        for p in pieces:
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], "<u4").tobytes())
+            at += p.length
+        assert at == len(ids)
+    for pieces in by_seq.values():
+        pieces.sort(key=lambda r: r.offset)
+        total = sum(p.length for p in pieces)
+        assert [p.offset for p in pieces] == np.cumsum([0, *(p.length for p in pieces[:-1])]).tolist() and total <= 1024 and total & (total - 1) == 0
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_hilbert_neighbours_touch():
+    cells = np.array([(x, y) for x in range(16) for y in range(16)])
+    order = cells[np.argsort(packing.hilbert_key(cells, 4))]
+    assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
+
+
+def test_targets_fill_by_weight_and_stop_at_the_cap():
+    got = mixing.fill_targets([("a", 100), ("b", 10), (None, 100)])
+    assert got["b"] == 30 and got["a"] == 45 and got[None] == 135 and sum(got.values()) == 210
+    assert mixing.fill_targets([]) == {} and mixing.fill_targets([("a", 0)]) == {"a": 0}
+
+
+def test_flight_keeps_totals():
+    rng = np.random.default_rng(0)
+    x, p = rng.integers(1, 500, 400).astype(float), np.full(400, 0.37)
+    out = mixing._flight(p, x.tolist(), rng.random(400))
+    assert abs(out.sum() - p.sum()) < 1e-6 and abs((out * x).sum() - (p * x).sum()) < 1e-3 and ((out > 0) & (out < 1)).sum() <= 2
+
+
+def test_mixing(docs, empty):
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(ROWS) and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()), key=str)
+    sums = defaultdict(int)
+    for r in got:
+        assert r.taken % max(1, r.size) == 0 and r.taken <= 3 * r.size
+        sums[r.target] += r.taken
+    goals = defaultdict(int)
+    for s, t in {(r.source_size, r.target) for r in got}:
+        goals[t] += t
+    assert all(abs(sums[t] - goals[t]) <= 0.05 * goals[t] + 50 for t in goals)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_toxicity_held_out(spark, empty):
+    rng = np.random.default_rng(5)
+    bad = ["grubwit", "snarlpit", "dolthead"]
+    rows, labels = [], []
+    for i in range(600):
+        w = [f"w{k}" for k in rng.integers(0, 900, 60)]
+        if toxic := i % 3 == 0:
+            w[int(rng.integers(0, 60))] = bad[i % 9 // 3]
+        rows.append((i, " ".join(w), 0.1))
+        labels.append((i, int(toxic)))
+    rows += [(1000, None, 0.1), (None, "w1", 0.1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(d, lab).collect()}
+    truth = dict(labels)
+    held = [k for k in truth if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert {k for k in truth if got[k].held_out} == set(held) and len(got) == len(rows)
+    assert np.mean([got[k].predicted == truth[k] for k in held]) > 0.95 and got[1000].predicted == 0
+    assert toxicity.toxicity(empty, lab).count() == 0
+    assert {r.score for r in toxicity.toxicity(d, lab.where("toxic = 0")).collect()} == {0.0}
+
+
+def test_kept_columns_survive(docs):
+    assert quality.quality(docs).columns[: len(docs.columns)] == docs.columns
+    assert docs.select(F.count(F.lit(1))).first()[0] == len(ROWS)
