@@ -106,3 +106,24 @@ def test_sources(spark, tmp_path):
 def test_plan(spark, text, intent):
     off = F.lit(False)
     assert spark.range(1).select(sessions.plan_retrieval(F.lit(text), off, off, F.lit(0.0), F.lit(0.0)).alias("p")).first().p.intent == intent
+
+
+def test_working_memory_state_round_trip(spark):
+    from tessera.operators import working as W
+
+    s = W.set_var(W.advance(W.set_task(W.empty(), F.lit("Migrate"), F.array(F.lit("a"), F.lit("b")))), F.lit("region"), F.lit("eu"))
+    row = spark.range(1).select(W.render(W.restore(W.snapshot(s))).alias("text"), W.render(W.complete_task(s)).alias("none")).first()
+    assert row.text == "Active task: Migrate (status: in_progress)\n  [x] a\n  [>] b\n  vars: region=eu" and row.none == ""
+
+
+def test_upfront_sections_are_cut_by_user(spark):
+    from tessera.plans import assistant
+
+    users = spark.createDataFrame([("u",), ("v",)], "user string")
+    prefs = spark.createDataFrame([("u", "style", "concise")], "user string, key string, value string")
+    tasks = spark.createDataFrame([("u", f"- t{i}", i) for i in range(3)], "user string, text string, updated int")
+    prev = spark.createDataFrame([("u", 1, "old"), ("u", 2, None)], "user string, started int, summary string")
+    mem = spark.createDataFrame([("u", f"m{i}", "fact", i / 10) for i in range(8)], "user string, text string, kind string, prior double")
+    got = {r.user: r.asDict() for r in assistant.upfront(users, prefs, tasks, prev, mem).collect()}
+    assert got["u"]["Task progress"] == "- t2\n- t1" and got["u"]["Previous sessions"] == "- 1: old"
+    assert got["u"]["Long-term memories about this user"].startswith("- m7 (fact)\n- m6") and got["v"]["Task progress"] is None
