@@ -164,7 +164,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     info = cut(shared_anchors(docs, window), "shared-anchors")
     # both joins deal the texts out by doc_id in the same way, so Spark reuses the one exchange
-    windows = docs.join(info, "doc_id", "left").where(~F.coalesce("copy", F.lit(True))).select("doc_id", "text", "anchors").mapInArrow(_candidate_windows(window), "doc_id long, hash long, more int")
+    # (the test is kept from turning the left join into another one, which would deal its own texts out)
+    wanted = F.when(F.spark_partition_id() >= 0, ~F.coalesce("copy", F.lit(True)))
+    windows = docs.join(info, "doc_id", "left").where(wanted).select("doc_id", "text", "anchors").mapInArrow(_candidate_windows(window), "doc_id long, hash long, more int")
     least = F.min("doc_id").over(Window.partitionBy("hash", "more"))
     lost = windows.withColumn("least", least).where(F.col("doc_id") > F.col("least")).groupBy("doc_id").agg(F.collect_set("hash").alias("windows"))
     marks = lost.join(info.where("copy").select("doc_id", "copy"), "doc_id", "full")
