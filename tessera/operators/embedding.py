@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -105,11 +106,41 @@ def md5_buckets(features: DataFrame, dim: int) -> DataFrame:
     return sums.select("key", "bucket", F.when(size > 0, F.col("v") / size).otherwise(F.lit(0.0)).alias("v"))
 
 
+@lru_cache(500_000)
+def md5_bucket(feature: str) -> tuple[int, float]:
+    digest = hashlib.md5(feature.encode()).hexdigest()
+    return int(digest[:8], 16), 1.0 if int(digest[8], 16) % 2 else -1.0
+
+
+def md5_vector(words: list[str], dim: int, grams: tuple[int, ...]) -> np.ndarray:
+    """The vector of md5_features() and md5_buckets() for one text."""
+    weight: Counter = Counter()
+    for word, times in Counter(words).items():
+        for f, w in word_features(word, grams):
+            weight[f] += w * times
+    for (a, b), times in Counter(zip(words, words[1:], strict=False)).items():
+        weight[f"b:{a}_{b}"] += WEIGHTS["bigram"] * times
+    out = np.zeros(dim)
+    for f, x in weight.items():
+        at, sign = md5_bucket(f)
+        x = round(x, 6)
+        out[at % dim] += sign * (1 + math.log(x) if x >= 1 else x)
+    size = math.sqrt(float(out @ out))
+    return out / size if size else out
+
+
 def md5_embed(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 64, grams: tuple[int, ...] = ()) -> DataFrame:
-    """key, embedding array<double> of dim buckets; texts without content are left out."""
-    rows = md5_buckets(md5_features(docs, key, text, grams), dim)
-    filled = rows.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("m"))
-    return filled.select("key", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("embedding"))
+    """key, embedding array<double> of dim buckets; texts without content are left out. In Arrow batches, with no shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [md5_vector(ws, dim, grams) for ws in batch.column(1).to_pylist()]
+            flat = np.concatenate(rows) if rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), pa.array(flat))], ["key", "embedding"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    words = docs.select(F.col(key).alias("key"), T.content_tokens(F.col(text)).alias("ws")).where(F.size("ws") > 0)
+    return words.mapInArrow(run, f"key {kind}, embedding array<double>")
 
 
 class Embedder:

@@ -141,11 +141,12 @@ def near_dup_pairs(spark, sf_dir):
     return D.pairs_above(table(spark, sf_dir, "embeddings"), 0.35, "vec_id", "embedding")
 
 
-@query("rrf_fusion", f"WITH {POOL} SELECT qid, key, dense, dense_rank::INT AS dense_rank, sparse, sparse_rank::INT AS sparse_rank, fused, fused_rank::INT AS fused_rank FROM cut")
+@query("rrf_fusion", f"WITH {POOL} SELECT qid, key, dense, coalesce(dense_rank, -1)::INT AS dense_rank, sparse, coalesce(sparse_rank, -1)::INT AS sparse_rank, fused, fused_rank::INT AS fused_rank FROM cut")
 def rrf_fusion(spark, sf_dir):
     """R6-R8."""
     docs, q = _docs(spark, sf_dir)
-    return retriever.candidates(docs, q).select("qid", "key", "dense", "dense_rank", "sparse", "sparse_rank", "fused", "fused_rank")
+    rank = lambda c: F.coalesce(c, F.lit(-1)).alias(c)  # noqa: E731  -1: not found by it
+    return retriever.candidates(docs, q).select("qid", "key", "dense", rank("dense_rank"), "sparse", rank("sparse_rank"), "fused", "fused_rank")
 
 
 def _ranked(spark, sf_dir, **kw) -> DataFrame:
