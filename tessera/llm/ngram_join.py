@@ -8,7 +8,7 @@ order their common subsets alike and the cheapest common one is indexed by both.
 subsets that aren't empty also indexes their one-deletion neighbourhoods; where even these can't meet, it goes into an overflow
 group of its band. Sizes near a band's upper end index in the next band too.
 
-Documents that share a key are candidates. Equal sets link by their digest. Then every document is verified against
+Documents that share a key are candidates; pairs that sizes or parity bits rule out go. Equal sets link by their digest. Then every document is verified against
 the first document of the keys it shares, the one it shares most with; linked documents become components, and
 only pairs across components that share a key are verified after that. So a group of copies costs its size, not its square,
 and no link between components is lost. Frequencies of shingles for the cost order are counted over all documents in
@@ -24,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import Words, chunks, clean_name, cut, mix
 from .components import components
@@ -31,8 +32,8 @@ from .components import components
 SHINGLE, PERCENT = 5, 75
 #: Sizes up to FIRST_BAND are parted into SEGMENTS * FIRST_BAND segments; each next band is BAND_STEP times as wide.
 FIRST_BAND, BAND_STEP, SEGMENTS = 1024, 8, 4
-HOT_KEPT, HOT_SHARE, HOT_ROWS = 1 << 15, 1 / 4000, 1 << 16
-FILTER_BITS = 1 << 22
+HOT_KEPT, HOT_SHARE, HOT_ROWS = 1 << 15, 1 / 4000, 1 << 19
+FILTER_BITS, PARITY_BITS = 1 << 22, 2048
 _U = np.uint64
 
 
@@ -137,7 +138,7 @@ def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def key_rows(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, n, same) of what documents index; same marks the digest of a whole set."""
+    """(key, doc_id) of what documents index; odd keys are digests of whole sets."""
     shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
 
     def emit(batches):
@@ -152,23 +153,42 @@ def key_rows(docs: DataFrame) -> DataFrame:
                 total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(h + _U(0x51ED270B)))])
                 ends = np.cumsum(n)
                 digest = mix((total[ends] - total[ends - n]) ^ n.astype(_U))[some]
-                doc = np.concatenate([at, some])
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate([key, digest]).view(np.int64)), "doc_id": ids.slice(i, j - i).take(pa.array(doc)), "n": pa.array(n[doc].astype(np.int32)), "same": pa.array(np.arange(len(doc)) >= len(at))})
+                both = np.concatenate([key & ~_U(1), digest | _U(1)])
+                yield pa.RecordBatch.from_pydict({"key": pa.array(both.view(np.int64)), "doc_id": ids.slice(i, j - i).take(pa.array(np.concatenate([at, some])))})
 
-    known = docs.where(F.col("doc_id").isNotNull())
-    return known.mapInArrow(emit, "key long, doc_id long, n int, same boolean")
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(emit, "key long, doc_id long")
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id and n_shingles of every row."""
+def facts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and parity of every row: bit k of parity is the number of shingles in bucket k modulo 2."""
 
     def emit(batches):
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(1)):
-                row, _, rows = shingle_sets(data, offsets)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "n_shingles": pa.array(np.bincount(row, minlength=rows))})
+                row, h, rows = shingle_sets(data, offsets)
+                bucket = (mix(h ^ _U(0x2F0B4C47)) % _U(PARITY_BITS)).astype(np.int64)
+                counts = np.bincount(row * PARITY_BITS + bucket, minlength=rows * PARITY_BITS) & 1
+                bits = np.packbits(counts.astype(np.uint8).reshape(rows, PARITY_BITS), axis=1)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "n_shingles": pa.array(np.bincount(row, minlength=rows)), "parity": pa.array([b.tobytes() for b in bits], pa.binary())})
+
+    return docs.mapInArrow(emit, "doc_id long, n_shingles long, parity binary")
+
 
-    return docs.mapInArrow(emit, "doc_id long, n_shingles long")
+def could_link(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may be similar: by sizes, and as every shingle in one set alone flips one bit, by differing parity bits."""
+
+    @F.pandas_udf(BooleanType())
+    def near(x, y, most):
+        import pandas as pd
+
+        rows = [np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y)]
+        return pd.Series(np.bitwise_count(rows[0] ^ rows[1]).sum(1, dtype=np.int64) <= most.to_numpy())
+
+    side = lambda k: known.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("parity").alias(f"{k}_p"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.where(100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n"))
+    most = F.floor((F.col("a_n") + F.col("b_n")) * (100 - PERCENT) / (100 + PERCENT)).cast("long")
+    return both.where(near("a_p", "b_p", most)).select("a", "b").distinct()
 
 
 def _possible(ids: DataFrame):
@@ -178,7 +198,7 @@ def _possible(ids: DataFrame):
     bits[ids.select(slot("doc_id").alias("s")).distinct().toArrow()["s"].to_numpy()] = True
     shared = ids.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def test(s):
         import pandas as pd
 
@@ -222,46 +242,51 @@ def verify(pairs: DataFrame, texts: DataFrame, per_task: int = 256) -> DataFrame
     return dealt.mapInArrow(emit, "a long, b long")
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """node, component of every document that links with another one."""
+def links(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """node, component of every document that links with another one; known: facts of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    group = Window.partitionBy("key", "same")
-    first = F.min(F.struct("doc_id", "n")).over(group)
-    rows = key_rows(docs).withColumns({"first": first, "last": F.max("doc_id").over(group)}).where(F.col("first.doc_id") < F.col("last"))
-    rows = cut(rows.select("key", "same", "doc_id", "n", F.col("first.doc_id").alias("a"), F.col("first.n").alias("a_n")), "shared-keys")
-    fits = lambda x, y: 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
-    equal = rows.where("same AND doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
-    known = rows.where("same").select("doc_id", F.col("a").alias("copy_of"))
-    # copies of a set are represented by their first document
-    keys = rows.where(~F.col("same")).join(known.where("doc_id != copy_of").distinct(), "doc_id", "left_anti")
-    keys = cut(keys.select("key", "doc_id", "n"), "keys")
-    firsts = Window.partitionBy("key")
-    star = keys.withColumn("f", F.min(F.struct("doc_id", "n")).over(firsts)).where((F.col("doc_id") != F.col("f.doc_id")) & fits(F.col("n"), F.col("f.n")))
-    counted = star.groupBy("doc_id", F.col("f.doc_id").alias("a")).agg(F.count(F.lit(1)).alias("c"))
+    group = Window.partitionBy("key")
+    rows = key_rows(docs).withColumns({"a": F.min("doc_id").over(group), "z": F.max("doc_id").over(group)}).where("a < z").drop("z")
+    rows = cut(rows, "shared-keys")
+    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
+    equal = rows.where(odd & (F.col("doc_id") != F.col("a"))).select("a", F.col("doc_id").alias("b")).distinct()
+    # copies of a set are represented by their first document, which is also first of no fewer groups
+    keys = cut(rows.where(~odd).join(equal.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"), "keys")
+    counted = keys.where("doc_id != a").groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("c"))
     best = counted.groupBy("doc_id").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", F.col("doc_id").alias("b"))
-    maybe = _possible(keys)
-    texts = cut(docs.where(maybe("doc_id")).join(keys.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "candidate-texts")
-    sure = cut(verify(best, texts), "verified")
+    best = cut(could_link(best, known), "first-pairs")
+    sure = cut(verify(best, candidate_texts(docs, best)), "verified")
     found = cut(components(sure, "a", "b"), "components")
-    placed = keys.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    placed = placed.withColumns({"c0": F.min("c").over(firsts), "c1": F.max("c").over(firsts)}).where("c0 < c1").select("key", "doc_id", "n", "c")
+    placed = keys.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    placed = placed.withColumns({"c0": F.min("c").over(group), "c1": F.max("c").over(group)}).where("c0 < c1").select("key", "doc_id", "c")
+    placed = cut(placed, "open-keys")
     x, y = placed.alias("x"), placed.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & fits(F.col("x.n"), F.col("y.n")))
-    across = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = verify(across, texts)
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")))
+    across = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    across = cut(could_link(across, known).join(best, ["a", "b"], "left_anti"), "more-pairs")
+    more = verify(across, candidate_texts(docs, across))
     return components(sure.unionByName(more).unionByName(equal), "a", "b")
 
 
+def candidate_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Texts of the documents in pairs; a fixed-size filter keeps most others from being dealt out."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    maybe = _possible(ids)
+    return cut(docs.where(maybe("doc_id")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "candidate-texts")
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id; a row a document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = links(docs)
-    out = sizes(docs).join(found, F.col("doc_id") == F.col("node"), "left")
+    known = cut(facts(docs), "facts")
+    found = links(docs, known)
+    out = known.drop("parity").join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: the least doc_id; documents that link with nothing stay, rows that repeat a doc_id stay or go together."""
     node = clean_name(docs, "join_node")
-    gone = links(docs).where(F.col("node") != F.col("component")).select(F.col("node").alias(node))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    gone = links(docs, cut(facts(texts), "facts")).where(F.col("node") != F.col("component")).select(F.col("node").alias(node))
     return docs.join(gone, docs["doc_id"] == gone[node], "left_anti")
