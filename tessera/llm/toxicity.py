@@ -87,18 +87,21 @@ def features(texts: pa.Array):
 
 def fit(buckets: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights by bucket (ratio times coefficient) and intercept; prior: share of toxic rows among all labelled ones."""
-    flat, row = np.concatenate(buckets), np.repeat(np.arange(len(y)), [len(b) for b in buckets])
-    value = np.log1p(np.concatenate(counts).astype(np.float64))
-    df = np.bincount(flat, minlength=BUCKETS)
-    p = np.bincount(flat, weights=(y[row] == 1), minlength=BUCKETS) + SMOOTHING
-    q = np.bincount(flat, weights=(y[row] == 0), minlength=BUCKETS) + SMOOTHING
-    ratio = np.log(p / (y == 1).sum()) - np.log(q / (y == 0).sum())
+    # a row at a time, so that memory stays near that of the rows themselves
+    seen = np.zeros((2, BUCKETS), np.int64)
+    for found, label in zip(buckets, y.astype(int), strict=True):
+        seen[label, found] += 1  # a row holds a bucket once
+    df = seen.sum(0)
+    ratio = np.log((seen[1] + SMOOTHING) / (y == 1).sum()) - np.log((seen[0] + SMOOTHING) / (y == 0).sum())
     strength = np.where(df >= 5, np.abs(ratio) * np.sqrt(df), 0)
     chosen = np.argsort(-strength, kind="stable")[:FEATURES]
-    slot = np.full(BUCKETS, -1)
-    slot[chosen] = np.arange(len(chosen))
-    keep = slot[flat] >= 0
-    r, c, x = row[keep], slot[flat[keep]], value[keep] * ratio[flat[keep]]
+    slot = np.full(BUCKETS, -1, np.int32)
+    slot[chosen] = np.arange(len(chosen), dtype=np.int32)
+    kept = [slot[found] >= 0 for found in buckets]
+    r = np.repeat(np.arange(len(y)), [int(k.sum()) for k in kept])
+    at = np.concatenate([found[k] for found, k in zip(buckets, kept, strict=True)])
+    c = slot[at]
+    x = np.log1p(np.concatenate([n[k] for n, k in zip(counts, kept, strict=True)]).astype(np.float64)) * ratio[at]
     w, b, m, v = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, 301):
         z = np.bincount(r, weights=x * w[c], minlength=len(y)) + b
