@@ -8,7 +8,13 @@ order their common subsets alike and the cheapest common one is indexed by both.
 subsets that aren't empty also indexes their one-deletion neighbourhoods; where even these can't meet, it goes into an overflow
 group of its band. Sizes near a band's upper end index in the next band too.
 
-Documents that share a key are candidates; pairs that sizes or parity bits rule out go. Equal sets link by their digest. Then every document is verified against
+A key also says how late it comes in its document's order. All subsets before the cheapest common one of two sets differ, and one that
+holds a single shingle is a difference of its own, so with s such subsets before it in one set of n shingles and s' in one of n',
+7 * (s + s') <= n + n' for sets that link. Each index row carries lead = 7 s - n; pairs whose leads add up to more than 0 aren't candidates at that
+key, and a key's rows that even its least lead rules out go before anything else. So passages that many documents share, whose
+shingles come last in the order, link nothing by themselves. Keys that the same documents share then count as one group.
+
+Documents of a group are candidates; pairs that sizes or parity bits rule out go. Equal sets link by their digest. Then every document is verified against
 the first document of the keys it shares, the one it shares most with; linked documents become components, and
 only pairs across components that share a key are verified after that. So a group of copies costs its size, not its square,
 and no link between components is lost. Frequencies of shingles for the cost order are counted over all documents in
@@ -33,7 +39,8 @@ SHINGLE, PERCENT = 5, 75
 #: Sizes up to FIRST_BAND are parted into SEGMENTS * FIRST_BAND segments; each next band is BAND_STEP times as wide.
 FIRST_BAND, BAND_STEP, SEGMENTS = 1024, 8, 4
 HOT_KEPT, HOT_SHARE, HOT_ROWS = 1 << 15, 1 / 4000, 1 << 19
-FILTER_BITS, PARITY_BITS = 1 << 22, 2048
+#: Parity bits of a set: the least power of two that is no less than twice its size, and at least LEAST_BITS.
+FILTER_BITS, LEAST_BITS = 1 << 22, 512
 _U = np.uint64
 
 
@@ -65,7 +72,7 @@ def bands(n: np.ndarray) -> list[tuple[np.ndarray, int]]:
 
 
 def index_keys(row, h, n_rows, hot: tuple[np.ndarray, np.ndarray]):
-    """(row, key) of every subset that a document indexes."""
+    """(row, key, lead) of every subset that a document indexes."""
     n = np.bincount(row, minlength=n_rows)
     weight = np.zeros(len(h), np.int64)
     if len(hot[0]):
@@ -95,21 +102,25 @@ def index_keys(row, h, n_rows, hot: tuple[np.ndarray, np.ndarray]):
         first = np.cumsum(count) - count
         rank = np.empty(len(doc), np.int64)
         rank[rank_order] = np.arange(len(doc)) - first[doc[rank_order]]
+        single = np.zeros(len(doc) + 1, np.int64)
+        np.cumsum((ends - starts == 1)[rank_order], out=single[1:])
+        before = np.empty(len(doc), np.int64)
+        before[rank_order] = single[:-1] - single[first[doc[rank_order]]]
         need = n // 3 + 1
         take = rank < need[doc]
-        out.append((doc[take], key[take]))
+        out.append((doc[take], key[take], 7 * before[take] - n[doc[take]]))
         few = np.flatnonzero(chosen & (count < need) & (n > 0))
         if len(few):
             short = np.isin(doc, few)
             for s, e, d, t, full in zip(starts[short], ends[short], doc[short], tag[short], content[short], strict=True):
                 less = mix((full - mix(x[s:e])) ^ t ^ _U(1))  # what the subset is without one shingle
-                out.append((np.full(e - s + 1, d), np.append(less, mix(np.array([full ^ t ^ _U(1)], _U)))))
+                out.append((np.full(e - s + 1, d), np.append(less, mix(np.array([full ^ t ^ _U(1)], _U))), np.full(e - s + 1, -n[d])))
             lost = few[2 * count[few] <= n[few] // 3]
             if len(lost):
-                out.append((lost, mix(m[lost].astype(_U) ^ _U(0xA5A5A5A5))))
+                out.append((lost, mix(m[lost].astype(_U) ^ _U(0xA5A5A5A5)), -n[lost]))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, _U)
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
 def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +149,7 @@ def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def key_rows(docs: DataFrame) -> DataFrame:
-    """(key, doc_id) of what documents index; odd keys are digests of whole sets."""
+    """(key, doc_id, lead) of what documents index."""
     shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
 
     def emit(batches):
@@ -146,32 +157,54 @@ def key_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, offsets in chunks(batch.column(1)):
-                row, h, rows = shingle_sets(data, offsets)
-                n = np.bincount(row, minlength=rows)
-                at, key = index_keys(row, h, rows, hot)
-                some = np.flatnonzero(n)
-                total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(h + _U(0x51ED270B)))])
-                ends = np.cumsum(n)
-                digest = mix((total[ends] - total[ends - n]) ^ n.astype(_U))[some]
-                both = np.concatenate([key & ~_U(1), digest | _U(1)])
-                yield pa.RecordBatch.from_pydict({"key": pa.array(both.view(np.int64)), "doc_id": ids.slice(i, j - i).take(pa.array(np.concatenate([at, some])))})
+                at, key, lead = index_keys(*shingle_sets(data, offsets), hot)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "doc_id": ids.slice(i, j - i).take(pa.array(at)), "lead": pa.array(lead.astype(np.int32))})
+
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(emit, "key long, doc_id long, lead int")
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(emit, "key long, doc_id long")
+
+def shared_groups(docs: DataFrame) -> DataFrame:
+    """group_id, first, doc_id, lead, n_keys: documents that share keys; keys of the same documents are one group, with each document's least lead."""
+    group = Window.partitionBy("key")
+    rows = key_rows(docs).withColumn("least", F.min("lead").over(group)).where(F.col("lead") + F.col("least") <= 0)
+    h = F.xxhash64("doc_id")
+    low, high = F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).over(group), F.sum(F.shiftrightunsigned(h, 32)).over(group)
+    rows = rows.withColumns({"first": F.min("doc_id").over(group), "last": F.max("doc_id").over(group), "size": F.count(F.lit(1)).over(group), "low": low, "high": high})
+    rows = rows.where("first < last").select(F.xxhash64("last", "size", "low", "high").alias("group_id"), "first", "doc_id", "lead")
+    return rows.groupBy("group_id", "first", "doc_id").agg(F.min("lead").alias("lead"), F.count(F.lit(1)).alias("n_keys"))
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and parity of every row: bit k of parity is the number of shingles in bucket k modulo 2."""
+    """doc_id, n_shingles, digest and parity of every row: bit k of parity is the number of shingles in bucket k modulo 2."""
 
     def emit(batches):
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(1)):
                 row, h, rows = shingle_sets(data, offsets)
-                bucket = (mix(h ^ _U(0x2F0B4C47)) % _U(PARITY_BITS)).astype(np.int64)
-                counts = np.bincount(row * PARITY_BITS + bucket, minlength=rows * PARITY_BITS) & 1
-                bits = np.packbits(counts.astype(np.uint8).reshape(rows, PARITY_BITS), axis=1)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "n_shingles": pa.array(np.bincount(row, minlength=rows)), "parity": pa.array([b.tobytes() for b in bits], pa.binary())})
+                n = np.bincount(row, minlength=rows)
+                total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(h + _U(0x51ED270B)))])
+                ends = np.cumsum(n)
+                digest = mix((total[ends] - total[ends - n]) ^ n.astype(_U))
+                bits = np.full(rows, LEAST_BITS, np.int64)
+                while (low := bits < 2 * n).any():
+                    bits[low] *= 2
+                begin = np.cumsum(bits) - bits
+                bucket = (mix(h ^ _U(0x2F0B4C47)) & (bits[row] - 1).astype(_U)).astype(np.int64)
+                odd = np.packbits((np.bincount(begin[row] + bucket, minlength=int(bits.sum())) & 1).astype(np.uint8)).tobytes()
+                parity = [odd[b : b + k] for b, k in zip(begin // 8, bits // 8, strict=True)]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "n_shingles": pa.array(n), "digest": pa.array(digest.view(np.int64)), "parity": pa.array(parity, pa.binary())})
+
+    return docs.mapInArrow(emit, "doc_id long, n_shingles long, digest long, parity binary")
 
-    return docs.mapInArrow(emit, "doc_id long, n_shingles long, parity binary")
+
+def _differing(x: bytes, y: bytes) -> int:
+    """Number of differing parity bits; the longer one is folded to the length of the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.frombuffer(x, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
 
 
 def could_link(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -181,8 +214,7 @@ def could_link(pairs: DataFrame, known: DataFrame) -> DataFrame:
     def near(x, y, most):
         import pandas as pd
 
-        rows = [np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y)]
-        return pd.Series(np.bitwise_count(rows[0] ^ rows[1]).sum(1, dtype=np.int64) <= most.to_numpy())
+        return pd.Series([_differing(p, q) <= k for p, q, k in zip(x, y, most, strict=True)], dtype=bool)
 
     side = lambda k: known.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("parity").alias(f"{k}_p"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -191,6 +223,15 @@ def could_link(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.where(near("a_p", "b_p", most)).select("a", "b").distinct()
 
 
+def equal_sets(known: DataFrame) -> DataFrame:
+    """(a, b, whole): documents b whose set an earlier document a has too; whole: b has no other set."""
+    some = known.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "digest")
+    first = some.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("digest", "a")
+    several = some.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 != d1").select(F.col("doc_id").alias("b"), F.lit(False).alias("whole"))
+    pairs = some.join(first, "digest").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
+    return pairs.join(several, "b", "left").select("a", "b", F.coalesce("whole", F.lit(True)).alias("whole"))
+
+
 def _possible(ids: DataFrame):
     """A test that all of ids pass and few others, of fixed size: FILTER_BITS bits."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
@@ -245,23 +286,23 @@ def verify(pairs: DataFrame, texts: DataFrame, per_task: int = 256) -> DataFrame
 def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     """node, component of every document that links with another one; known: facts of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    group = Window.partitionBy("key")
-    rows = key_rows(docs).withColumns({"a": F.min("doc_id").over(group), "z": F.max("doc_id").over(group)}).where("a < z").drop("z")
-    rows = cut(rows, "shared-keys")
-    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
-    equal = rows.where(odd & (F.col("doc_id") != F.col("a"))).select("a", F.col("doc_id").alias("b")).distinct()
+    equal = cut(equal_sets(known), "equal-sets")
     # copies of a set are represented by their first document, which is also first of no fewer groups
-    keys = cut(rows.where(~odd).join(equal.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"), "keys")
-    counted = keys.where("doc_id != a").groupBy("doc_id", "a").agg(F.count(F.lit(1)).alias("c"))
-    best = counted.groupBy("doc_id").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", F.col("doc_id").alias("b"))
+    groups = cut(cut(shared_groups(docs), "shared").join(equal.where("whole").select(F.col("b").alias("doc_id")), "doc_id", "left_anti"), "groups")
+    equal = equal.select("a", "b")
+    counted = groups.where("doc_id != first").groupBy("doc_id", "first").agg(F.sum("n_keys").alias("c"))
+    best = counted.groupBy("doc_id").agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("a")).select("a", F.col("doc_id").alias("b"))
     best = cut(could_link(best, known), "first-pairs")
     sure = cut(verify(best, candidate_texts(docs, best)), "verified")
-    found = cut(components(sure, "a", "b"), "components")
-    placed = keys.join(found, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    placed = placed.withColumns({"c0": F.min("c").over(group), "c1": F.max("c").over(group)}).where("c0 < c1").select("key", "doc_id", "c")
-    placed = cut(placed, "open-keys")
+    found = components(sure, "a", "b").select(F.col("node").alias("doc_id"), "component")
+    placed = known.where("n_shingles > 0").select("doc_id", "n_shingles").distinct().join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("c"))
+    group = Window.partitionBy("group_id", "first")
+    placed = groups.join(placed, "doc_id").withColumns({"c0": F.min("c").over(group), "c1": F.max("c").over(group)}).where("c0 < c1")
+    placed = cut(placed.select("group_id", "first", "doc_id", "lead", "n_shingles", "c"), "open-groups")
     x, y = placed.alias("x"), placed.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")))
+    same = (F.col("x.group_id") == F.col("y.group_id")) & (F.col("x.first") == F.col("y.first")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c"))
+    sizes = 100 * F.least("x.n_shingles", "y.n_shingles") >= PERCENT * F.greatest("x.n_shingles", "y.n_shingles")
+    across = x.join(y, same & sizes & (F.col("x.lead") + F.col("y.lead") <= 0))
     across = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     across = cut(could_link(across, known).join(best, ["a", "b"], "left_anti"), "more-pairs")
     more = verify(across, candidate_texts(docs, across))
@@ -280,7 +321,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = cut(facts(docs), "facts")
     found = links(docs, known)
-    out = known.drop("parity").join(found, F.col("doc_id") == F.col("node"), "left")
+    out = known.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

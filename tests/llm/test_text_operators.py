@@ -90,7 +90,7 @@ def test_ngram_join_of_near_copies(spark):
 
 
 def test_index_keys_of_small_sets_meet():
-    """Every pair of similar small sets shares a key, also where one segment holds all shingles."""
+    """Every pair of similar small sets shares a key with leads that allow it, also where one segment holds all shingles."""
     none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     rng = np.random.default_rng(0)
     for n in (3, 4, 5, 8, 20, 700, 1000):
@@ -100,8 +100,40 @@ def test_index_keys_of_small_sets_meet():
             if 100 * len(a) < 75 * len(b):
                 continue
             row = np.repeat([0, 1], [len(a), len(b)])
-            r, key = ngram_join.index_keys(row, np.concatenate([a, b]), 2, none)
-            assert set(key[r == 0].tolist()) & set(key[r == 1].tolist()), (n, extra)
+            r, key, lead = ngram_join.index_keys(row, np.concatenate([a, b]), 2, none)
+            x, y = (dict(zip(key[r == k].tolist(), lead[r == k].tolist(), strict=True)) for k in (0, 1))
+            assert any(x[k] + y[k] <= 0 for k in x.keys() & y.keys()), (n, extra)
+
+
+def test_leads_allow_every_similar_pair():
+    """Sets that differ in as much as may be, some of it frequent, also where sizes lie in two bands."""
+    rng = np.random.default_rng(5)
+    for n in (30, 200, 1000, 1100, 9000):
+        for seed in range(6):
+            common = rng.integers(0, 2**63, n, dtype=np.uint64)
+            most = n // 3  # 3 n / (3 n + n) is 0.75
+            p = seed * most // 5
+            a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in (p, most - p))
+            hot = np.unique(rng.choice(common, n // 2))
+            r, key, lead = ngram_join.index_keys(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2, (hot, np.full(len(hot), 9)))
+            x, y = (dict(zip(key[r == k].tolist(), lead[r == k].tolist(), strict=True)) for k in (0, 1))
+            assert any(x[k] + y[k] <= 0 for k in x.keys() & y.keys()), (n, p)
+
+
+def test_parity_bits_fold():
+    rng = np.random.default_rng(2)
+    bits = rng.integers(0, 2, 1024).astype(np.uint8)
+    folded = np.packbits(bits[:512] ^ bits[512:]).tobytes()
+    assert ngram_join._differing(np.packbits(bits).tobytes(), folded) == 0
+    assert ngram_join._differing(folded, np.packbits(bits ^ (np.arange(1024) == 700)).tobytes()) == 1
+
+
+def test_ngram_join_of_a_node_with_two_sets(spark):
+    """A doc_id with two texts links by either, also where one of them is a copy of an earlier document's."""
+    t, u = (" ".join(f"{k}{i}" for i in range(40)) for k in "tu")
+    rows = [(3, t), (5, t), (5, u), (9, u + " end"), (7, "other")]
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 7), (9, 3)]
 
 
 def test_ngram_join_of_nothing(empty):
