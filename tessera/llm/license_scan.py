@@ -1,11 +1,12 @@
 """License scan with a positional index of rare words; DataFrame functions only.
 
 Templates are runs of licence words; the index holds, for each word, the (template, place) pairs where it stands. The
-document frequency of every licence word is counted over all documents. A file is looked up by its licence words of the
-highest idf (those in at most RARE_SHARE of documents, RARE_WORDS distinct ones at most, every place of them): each place
-minus the word's place in a template is where the template would start, and starts that NEED rare words agree on are
-candidates. A candidate counts if the template's mandatory phrase stands at its place. Agreeing starts are found by sorting
-them, so a file that repeats one licence word costs n log n.
+document frequency of every licence word is counted over all documents. Words in at most RARE_SHARE of documents have
+postings in every template; besides, each template has postings of the NEED rarest words of its mandatory phrase, whatever
+their share. A file is looked up by its RARE_WORDS rarest such words: each place minus the word's place in a template is
+where the template would start, and starts that NEED words agree on are candidates. A candidate counts if the template's
+mandatory phrase stands at its place. Agreeing starts are found by sorting them, so a file that repeats one licence word
+costs n log n.
 
 The base phrases are searched for in every file, whatever the index says. Only counts of licence words are shuffled.
 
@@ -15,8 +16,6 @@ get equal results; an empty table gives no rows; other columns are kept by scan(
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import clean_name
@@ -80,17 +79,25 @@ def _base(norm: Column, n_words: Column) -> dict[str, Column]:
     }
 
 
+def _postings(shares: dict[str, float]) -> dict[str, list[int]]:
+    """Codes (template, minus place) by word, rarest words first."""
+    idf = lambda w: (shares.get(w, 0), w)
+    out = {}
+    for w in sorted(vocabulary(), key=idf):
+        rare = shares.get(w, 0) <= RARE_SHARE
+        codes = [(t << _SHIFT) - place for t, (_, text, must) in enumerate(TEMPLATES) for place, x in enumerate(text.split()) if x == w and (rare or w in sorted(set(must.split()), key=idf)[:NEED])]
+        if codes:
+            out[w] = codes
+    return out
+
+
 def _candidates(words: Column, shares: dict[str, float]) -> Column:
-    """Sorted codes (template, start) that NEED rare words of the file agree on."""
-    rare = [w for w in vocabulary() if shares.get(w, 0) <= RARE_SHARE]
-    if not rare:
-        return F.array().cast("array<bigint>")
-    ranked = sorted(rare, key=lambda w: (-math.log(1 / max(shares.get(w, 0), 1e-12)), w))
-    by_idf = F.array(*[F.lit(w) for w in ranked])
-    postings = {w: [(t << _SHIFT) - place for t, (_, text, _) in enumerate(TEMPLATES) for place, x in enumerate(text.split()) if x == w] for w in ranked}
-    table = F.array(*[F.struct(F.lit(w).alias("w"), F.array(*[F.lit(c).cast("long") for c in postings[w]]).alias("c")) for w in ranked])
-
-    def look_up(own):  # the file's own rare words, highest idf first
+    """Sorted codes (template, start) that NEED indexed words of the file agree on."""
+    postings = _postings(shares)
+    by_idf = F.array(*[F.lit(w) for w in postings])
+    table = F.array(*[F.struct(F.lit(w).alias("w"), F.array(*[F.lit(c).cast("long") for c in codes]).alias("c")) for w, codes in postings.items()])
+
+    def look_up(own):  # the file's own indexed words, highest idf first
         places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(own, x["w"]))
         starts = F.flatten(F.transform(places, lambda x: F.transform(F.get(F.filter(table, lambda e: e["w"] == x["w"])["c"], F.lit(0)), lambda c: c + x["i"] + F.lit(_ZERO).cast("long"))))
         agree = lambda s: F.filter(s, lambda x, i: (F.get(s, i + NEED - 1) == x) & ~F.coalesce(F.get(s, i - 1) == x, F.lit(False)))

@@ -45,6 +45,16 @@ def test_licences(docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_licences_that_are_in_most_documents(spark):
+    """A label depends on its file alone, however common the licence is; no template is lost."""
+    texts = [t for _, t, _ in license_scan.TEMPLATES]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    alone = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(rows + [(99 + i, "plain words") for i in range(400)], "doc_id long, text string")).collect()}
+    assert all(label in alone[k].split(",") for k, (label, _, _) in enumerate(license_scan.TEMPLATES))
+    common = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert common == {k: alone[k] for k in common}
+
+
 def test_personal_data(docs, empty):
     got = collect(pii.digest(pii.detect(docs.drop("spans"), keep=["doc_id"])), "base_sha256")
     assert got == sorted(((k, fx.personal(t)) for k, t in ROWS), key=str)
