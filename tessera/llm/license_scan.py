@@ -3,10 +3,9 @@
 Templates are runs of licence words; the index holds, for each word, the (template, place) pairs where it stands. The
 document frequency of every licence word is counted over all documents. Words in at most RARE_SHARE of documents have
 postings in every template; besides, each template has postings of the NEED rarest words of its mandatory phrase, whatever
-their share. A file is looked up by its RARE_WORDS rarest such words: each place minus the word's place in a template is
-where the template would start, and starts that NEED words agree on are candidates. A candidate counts if the template's
-mandatory phrase stands at its place. Agreeing starts are found by sorting them, so a file that repeats one licence word
-costs n log n.
+their share. A file is looked up by all such words it holds: each place minus the word's place in a template is where the
+template would start, and starts that NEED words agree on are candidates. A candidate counts if the template's mandatory
+phrase stands at its place. Agreeing starts are found by sorting them, so a file that repeats one licence word costs n log n.
 
 The base phrases are searched for in every file, whatever the index says. Only counts of licence words are shuffled.
 
@@ -23,7 +22,7 @@ from .quality import let
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RARE_SHARE, RARE_WORDS, NEED = 0.05, 32, 2
+RARE_SHARE, NEED = 0.05, 2
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Fixed values: (label, template, mandatory phrase in it), from the licences' own notices.
@@ -103,8 +102,7 @@ def _candidates(words: Column, shares: dict[str, float]) -> Column:
         agree = lambda s: F.filter(s, lambda x, i: (F.get(s, i + NEED - 1) == x) & ~F.coalesce(F.get(s, i - 1) == x, F.lit(False)))
         return let(F.array_sort(starts), agree)
 
-    own = F.slice(F.array_intersect(by_idf, words), 1, RARE_WORDS)
-    return F.when(F.size(F.array_intersect(by_idf, words)) < NEED, F.array().cast("array<bigint>")).otherwise(let(own, look_up))
+    return let(F.array_intersect(by_idf, words), lambda own: F.when(F.size(own) < NEED, F.array().cast("array<bigint>")).otherwise(look_up(own)))
 
 
 def _verified(words: Column, codes: Column) -> Column:

@@ -55,6 +55,13 @@ def test_licences_that_are_in_most_documents(spark):
     assert common == {k: alone[k] for k in common}
 
 
+def test_licences_of_a_file_that_holds_every_template(spark):
+    less_rare = "version v under to the terms subject public of mozilla licensed license lesser gnu general 3 2 0"
+    rows = [(0, " and ".join(t for _, t, _ in license_scan.TEMPLATES))] + [(k, "plain words" if k > 2 else less_rare) for k in range(1, 100)]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == ",".join(sorted({label for label, _, _ in license_scan.TEMPLATES})) and got[1] == ""
+
+
 def test_personal_data(docs, empty):
     got = collect(pii.digest(pii.detect(docs.drop("spans"), keep=["doc_id"])), "base_sha256")
     assert got == sorted(((k, fx.personal(t)) for k, t in ROWS), key=str)
