@@ -10,8 +10,9 @@ from . import dense as D, embedding as E, sparse as S
 
 
 def pool(docs: DataFrame, queries: DataFrame, qid: str, question: str, key: str = "doc_id", text: str = "text", embed=None, config=DEFAULT) -> DataFrame:
-    """qid, key, dense, dense_rank, sparse, sparse_rank, fused; keys that only BM25 found get their true cosine."""
-    embed = embed or (lambda d, k, t: E.md5_embed(d, k, t, 64))
+    """qid, key, dense, dense_rank, sparse, sparse_rank, fused; keys that only BM25 found get their true cosine. The embedder is
+    that of config unless one is given."""
+    embed = embed or E.Embedder(config.embedder, config.embed_dim).embed
     asked = embed(queries, qid, question).withColumnRenamed("key", "qid").cache()
     near = D.top_k(embed(docs, key, text), asked, config.dense_k).cache()
     lexical = S.search(docs, queries, qid, question, config.sparse_k, key, text, config).cache()

@@ -68,6 +68,10 @@ FLOOR = "fl AS (SELECT * FROM (SELECT *, max(rerank) OVER (PARTITION BY qid) AS
 FINAL = f"{FLOOR}, fin AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, fused_rank) AS final_rank FROM fl QUALIFY final_rank <= 4)"
 
 
+#: The embedder that the SQL twins fix: 64 buckets by md5, no character n-grams. Queries without a twin use that of Config.
+TWIN = {"embed": E.md5_embed}
+
+
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
 
@@ -146,12 +150,12 @@ def rrf_fusion(spark, sf_dir):
     """R6-R8."""
     docs, q = _docs(spark, sf_dir)
     rank = lambda c: F.coalesce(c, F.lit(-1)).alias(c)  # noqa: E731  -1: not found by it
-    return retriever.candidates(docs, q).select("qid", "key", "dense", rank("dense_rank"), "sparse", rank("sparse_rank"), "fused", "fused_rank")
+    return retriever.candidates(docs, q, **TWIN).select("qid", "key", "dense", rank("dense_rank"), "sparse", rank("sparse_rank"), "fused", "fused_rank")
 
 
 def _ranked(spark, sf_dir, **kw) -> DataFrame:
     docs, q = _docs(spark, sf_dir)
-    return retriever.retrieve(docs, q, **kw)
+    return retriever.retrieve(docs, q, **(TWIN | kw))
 
 
 @query("cross_feature_rerank", f"WITH {RANKED} SELECT qid, key, rank::INT AS rank, rerank, coverage, heading FROM ranked")
@@ -174,7 +178,7 @@ def llm_blend_stub(spark, sf_dir):
     """R11 with labels.quality in place of a model's scores."""
     docs, q = _docs(spark, sf_dir)
     quality = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("key")).agg(F.max("quality").cast("double").alias("llm"))
-    cands = retriever.candidates(docs, q)
+    cands = retriever.candidates(docs, q, **TWIN)
     scores = cands.select("qid", "key").join(quality, "key")
     scored = rerank.score(cands, rerank.query_profile(docs, q, "item_id", "text"), retriever.passages(docs))
     return rerank.best(rerank.blend(scored, scores)).select("qid", "key", "rank", "rerank")
@@ -184,7 +188,7 @@ def llm_blend_stub(spark, sf_dir):
 def prior_blend(spark, sf_dir):
     """A prior made from the key scales the score."""
     docs, q = _docs(spark, sf_dir)
-    scored = rerank.score(retriever.candidates(docs, q), rerank.query_profile(docs, q, "item_id", "text"), retriever.passages(docs))
+    scored = rerank.score(retriever.candidates(docs, q, **TWIN), rerank.query_profile(docs, q, "item_id", "text"), retriever.passages(docs))
     scored = scored.withColumn("prior", 1.0 / (1 + F.col("key") % 7))
     return rerank.best(rerank.blend(scored, prior="prior")).select("qid", "key", "rank", "rerank")
 
@@ -292,7 +296,7 @@ def ablation_by_mode(spark, sf_dir):
     v, a = E.md5_embed(docs), E.md5_embed(q, "item_id").withColumnRenamed("key", "qid")
     pick = lambda d, mode, r: d.select(F.lit(mode).alias("mode"), "qid", "key", F.col(r).alias("r")).where("r < 5")
     modes = pick(D.top_k(v, a, 5), "dense", "dense_rank").unionByName(pick(S.search(docs, q, "item_id", "text", 5), "bm25", "sparse_rank"))
-    modes = modes.unionByName(pick(retriever.candidates(docs, q), "rrf", "fused_rank")).unionByName(pick(_ranked(spark, sf_dir), "rerank", "rank"))
+    modes = modes.unionByName(pick(retriever.candidates(docs, q, **TWIN), "rrf", "fused_rank")).unionByName(pick(_ranked(spark, sf_dir), "rerank", "rank"))
     return rank_metrics(modes, gold_pairs(spark, sf_dir))
 
 
@@ -309,7 +313,7 @@ def _items(spark, sf_dir) -> DataFrame:
     docs, q = _docs(spark, sf_dir)
     texts = docs.select(F.col("doc_id").alias("key"), "text")
     asked = q.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    return _ranked(spark, sf_dir).select("qid", "key", "rerank", "coverage").join(texts, "key").join(asked, "qid")
+    return retriever.retrieve(docs, q).select("qid", "key", "rerank", "coverage").join(texts, "key").join(asked, "qid")
 
 
 @query("greedy_dedup")

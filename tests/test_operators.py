@@ -25,6 +25,19 @@ def test_dense_top_k_equals_brute_force(spark):
     assert [r.key for r in got] == want
 
 
+def test_pool_embeds_as_config_says(spark):
+    from tessera.config import DEFAULT
+    from tessera.operators import fusion
+
+    texts = {1: "deployment rollback", 2: "deploy the service", 3: "database conections", 4: "cats sleep"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    q = spark.createDataFrame([(0, "database connection deployments")], "qid long, text string")
+    words = lambda t: [w for w in t.split() if w != "the"]
+    one = lambda t: embedding.embed_words(words(t), DEFAULT.embed_dim).astype(float)
+    got = {r.key: r.dense for r in fusion.pool(docs, q, "qid", "text").collect()}
+    assert got.keys() == texts.keys() and all(abs(got[k] - one(t) @ one("database connection deployments")) < 2e-6 for k, t in texts.items())
+
+
 def test_embedder_gives_unit_vectors_and_zero_for_nothing(spark):
     d = spark.createDataFrame([(1, "deploy the service"), (2, "the of"), (3, None)], "doc_id long, text string")
     got = {r.key: np.array(r.embedding) for r in embedding.hash_embed(d, dim=64).collect()}
