@@ -140,3 +140,13 @@ def test_upfront_sections_are_cut_by_user(spark):
     got = {r.user: r.asDict() for r in assistant.upfront(users, prefs, tasks, prev, mem).collect()}
     assert got["u"]["Task progress"] == "- t2\n- t1" and got["u"]["Previous sessions"] == "- 1: old"
     assert got["u"]["Long-term memories about this user"].startswith("- m7 (fact)\n- m6") and got["v"]["Task progress"] is None
+
+
+def test_upfront_keeps_all_preferences(spark):
+    from tessera.plans import assistant
+
+    users = spark.createDataFrame([("u",)], "user string")
+    prefs = spark.createDataFrame([("u", f"k{i:02}", "v") for i in range(60)], "user string, key string, value string")
+    none = lambda s: spark.createDataFrame([], "user string, " + s)
+    got = assistant.upfront(users, prefs, none("text string, updated int"), none("started int, summary string"), none("text string, kind string, prior double")).first()
+    assert got["User profile & preferences"].split("\n") == [f"- k{i:02}: v" for i in range(60)]
