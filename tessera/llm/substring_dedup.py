@@ -69,8 +69,23 @@ def _rows_of(w: Words) -> np.ndarray:
     return np.repeat(np.arange(len(w.count)), w.count)
 
 
+def _digests(w: Words, window: int):
+    """Rows of a window's words at least, and a hash of all words of each."""
+    long = np.flatnonzero(w.count >= window)
+    total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(w.hash + _places(w).astype(_U) * _U(0x9E3779B97F4A7C15)))])
+    return long, mix(total[w.first[long] + w.count[long]] - total[w.first[long]])
+
+
+def _copied(w: Words, window: int, copies: pa.Array, first: int) -> np.ndarray:
+    """Whether a row's own digest is among the copied ones of its doc_id."""
+    long, digest = _digests(w, window)
+    out = np.zeros(len(w.count), bool)
+    out[long] = _in_lists(long, digest, copies, first)
+    return out
+
+
 def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, copy (a smaller doc_id has the same words), anchors (hashes of its shared anchors); documents without either are left out."""
+    """doc_id, copies (digests of its rows whose words a smaller doc_id has too), anchors (hashes of its shared anchors); documents without either are left out."""
 
     def emit(batches):
         for batch in batches:
@@ -79,9 +94,7 @@ def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
                 w = Words(data, offsets, False)
                 h, ok = _anchors(w, window)
                 row, h = _distinct(_rows_of(w)[ok], h[ok])
-                long = np.flatnonzero(w.count >= window)
-                total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(w.hash + _places(w).astype(_U) * _U(0x9E3779B97F4A7C15)))])
-                digest = mix(total[w.first[long] + w.count[long]] - total[w.first[long]])
+                long, digest = _digests(w, window)
                 part = keys.slice(i, j - i)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.concat_arrays([part.take(pa.array(row)), part.take(pa.array(long))]), "hash": pa.array(np.concatenate([h, digest]).view(np.int64)), "n": pa.array(np.concatenate([np.zeros(len(h), np.int32), w.count[long].astype(np.int32)]))})
 
@@ -89,7 +102,7 @@ def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
     same = Window.partitionBy("hash", "n")
     found = rows.withColumns({"least": F.min("doc_id").over(same), "most": F.max("doc_id").over(same)}).where(F.col("least") < F.col("most"))
     found = found.where((F.col("n") == 0) | (F.col("doc_id") > F.col("least")))
-    return found.groupBy("doc_id").agg(F.max(F.col("n") > 0).alias("copy"), F.collect_set(F.when(F.col("n") == 0, F.col("hash"))).alias("anchors"))
+    return found.groupBy("doc_id").agg(F.collect_set(F.when(F.col("n") > 0, F.col("hash"))).alias("copies"), F.collect_set(F.when(F.col("n") == 0, F.col("hash"))).alias("anchors"))
 
 
 def _in_lists(row: np.ndarray, h: np.ndarray, lists: pa.Array, first: int) -> np.ndarray:
@@ -111,7 +124,7 @@ def _in_lists(row: np.ndarray, h: np.ndarray, lists: pa.Array, first: int) -> np
 def _candidate_windows(window: int):
     def emit(batches):
         for batch in batches:
-            keys, texts, lists = batch.column(0), batch.column(1), batch.column(2)
+            keys, texts, lists, copies = (batch.column(c) for c in range(4))
             for i, j, data, offsets in chunks(texts):
                 w = Words(data, offsets, False)
                 h, ok = _anchors(w, window)
@@ -121,7 +134,7 @@ def _candidate_windows(window: int):
                 n = len(h)
                 seen = np.concatenate([[0], np.cumsum(hit)])
                 full, ok = w.windows(window)
-                chosen = ok & (seen[np.minimum(np.arange(n) + PERIOD, n)] > seen[:-1])
+                chosen = ok & ~_copied(w, window, copies, i)[row] & (seen[np.minimum(np.arange(n) + PERIOD, n)] > seen[:-1])
                 r, f, s = _distinct(row[chosen], full[chosen], _second(w, window)[chosen])
                 yield pa.RecordBatch.from_pydict({"doc_id": keys.slice(i, j - i).take(pa.array(r)), "hash": pa.array(f.view(np.int64)), "more": pa.array(s)})
 
@@ -132,7 +145,6 @@ def _removed(window: int):
     def emit(batches):
         for batch in batches:
             keys, texts, copies, lists = (batch.column(c) for c in range(4))
-            copied = copies.to_pylist()
             for i, j, data, offsets in chunks(texts):
                 w = Words(data, offsets, False)
                 full, ok = w.windows(window)
@@ -144,12 +156,13 @@ def _removed(window: int):
                 step[at] += 1
                 np.add.at(step, at + window, -1)
                 gone = np.cumsum(step[:-1]) > 0
+                copied = _copied(w, window, copies, i)
                 digests, removed = [], np.zeros(j - i, np.int64)
                 for k in range(j - i):
                     a, n = int(w.first[k]), int(w.count[k])
                     words = data[offsets[k] : offsets[k + 1]].tobytes().split()
                     lost = gone[a : a + n]
-                    if copied[i + k]:
+                    if copied[k]:
                         words, removed[k] = [], n
                     elif lost.any():
                         words, removed[k] = [x for x, g in zip(words, lost.tolist(), strict=True) if not g], int(lost.sum())
@@ -165,11 +178,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     info = cut(shared_anchors(docs, window), "shared-anchors")
     # both joins deal the texts out by doc_id in the same way, so Spark reuses the one exchange
     # (the test is kept from turning the left join into another one, which would deal its own texts out)
-    wanted = F.when(F.spark_partition_id() >= 0, ~F.coalesce("copy", F.lit(True)))
-    windows = docs.join(info, "doc_id", "left").where(wanted).select("doc_id", "text", "anchors").mapInArrow(_candidate_windows(window), "doc_id long, hash long, more int")
+    wanted = F.when(F.spark_partition_id() >= 0, F.coalesce(F.size("anchors") > 0, F.lit(False)))
+    windows = docs.join(info, "doc_id", "left").where(wanted).select("doc_id", "text", "anchors", "copies").mapInArrow(_candidate_windows(window), "doc_id long, hash long, more int")
     least = F.min("doc_id").over(Window.partitionBy("hash", "more"))
     lost = windows.withColumn("least", least).where(F.col("doc_id") > F.col("least")).groupBy("doc_id").agg(F.collect_set("hash").alias("windows"))
-    marks = lost.join(info.where("copy").select("doc_id", "copy"), "doc_id", "full")
+    marks = lost.join(info.where(F.size("copies") > 0).select("doc_id", "copies"), "doc_id", "full")
     body = _removed(window)
 
     def emit(batches):
@@ -180,4 +193,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
             yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("windows", F.array().cast("array<bigint>")).alias("windows")).mapInArrow(emit, schema)
+    return docs.join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("copies", F.array().cast("array<bigint>")).alias("copies"), F.coalesce("windows", F.array().cast("array<bigint>")).alias("windows")).mapInArrow(emit, schema)

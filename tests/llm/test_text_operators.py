@@ -74,6 +74,13 @@ def test_redaction_covers_overlaps(docs):
     assert out[0].text == ROWS[0][1] and out[4].text is None and out[16].spans == "x"
 
 
+def test_copies_are_rows_not_doc_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(120)) for c in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b + " more")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 120, 0), (2, 120, 0), (2, 120, 120), (3, 121, 120)]
+
+
 def test_prefix_sums_over_many_spans(spark):
     t = "é " + "1.1.1.1 " * 300
     d = spark.createDataFrame([(1, t)], "doc_id long, text string")
