@@ -32,7 +32,7 @@ GENERATORS = (
     ("phone", r"(?<![0-9+])(?<!\+[0-9]{1,3}[ .-]{1,2})(?<!\+[0-9]{1,3}[ .-]{1,2}\()\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", False),
     ("card", r"(?<![0-9])[0-9]{13}(?![0-9])", False),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", False),
-    ("secret", r"(?i)(?<![a-z])(?:token|secret|password|api_?key) ?[=:] ?[\"'][^\"'\s]{8,64}[\"']", False),
+    ("secret", r"(?i)(?<![a-z])(?:token|secret|password|api_?key) ?[=:] ?[\"'][^\"'\s]{8,}+[\"']", False),
 )
 #: Texts without any of these have no candidate.
 HINT = r"[0-9@]|[\[(]at[\])]|(?i:token|secret|password|key) ?[=:]"

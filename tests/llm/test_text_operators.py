@@ -74,6 +74,12 @@ def test_redaction_covers_overlaps(docs):
     assert out[0].text == ROWS[0][1] and out[4].text is None and out[16].spans == "x"
 
 
+def test_long_secrets_are_found_whole(spark):
+    rows = [(n, f"password = '{'aB3x' * (n // 4)}' end") for n in (40, 64, 68, 4000)] + [(k, "at 999.999.999.999 then") for k in range(30)]
+    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[n] for n in (40, 64, 68, 4000)] == ["<secret> end"] * 4 and out[0] == rows[-1][1]
+
+
 def test_copies_are_rows_not_doc_ids(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(120)) for c in "ab")
     rows = [(1, a), (2, a), (2, b), (3, b + " more")]
