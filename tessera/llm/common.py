@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Texts are worked on in pieces of about so many bytes, to bound numpy's temporaries.
-CHUNK_BYTES = 1 << 20
+#: Texts are worked on in pieces of about so many bytes, to bound numpy's temporaries: some ten arrays of 8 bytes a byte.
+#: A text that is longer is a piece of its own, so a worker's need grows with its longest text (80 MB for a text of 1 MB).
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,12 +51,39 @@ def partitions(spark: SparkSession) -> int:
 
 
 def clean_name(df: DataFrame, stem: str) -> str:
-    """A column name that df does not have."""
-    while stem in df.columns:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
         stem += "_"
     return stem
 
 
+def make_room(df: DataFrame, *added: str) -> DataFrame:
+    """df with its columns that clash with names to be added, in any case of letters, renamed to <name>_in."""
+    wanted = {a.lower() for a in added}
+    for c in df.columns:
+        if c.lower() in wanted:
+            df = df.withColumnRenamed(c, clean_name(df, f"{c}_in"))
+    return df
+
+
+class Scratch:
+    """Tables in the shared folder that are of no use once the result has been written or is itself a table."""
+
+    def __init__(self):
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def cut(self, df: DataFrame, tag: str) -> DataFrame:
+        path = fresh_path(df.sparkSession, tag)
+        self.paths.append((df.sparkSession, path))
+        return cut(df, tag, path)
+
+    def clear(self) -> None:
+        for spark, path in self.paths:
+            forget(spark, path)
+        self.paths.clear()
+
+
 # ---------------------------------------------------------------- numpy kernels
 
 _U = np.uint64
@@ -71,18 +99,24 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of an odd base and of its inverse modulo 2**64: KEPT of them are remembered, more are made for one call."""
+
+    KEPT = 5 << 18
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, _U)
 
+    def _make(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = np.full(n, self.base, _U), np.full(n, self.inverse, _U)
+        up[0] = down[0] = 1
+        return np.cumprod(up, out=up), np.cumprod(down, out=down)
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.KEPT:
+            return self._make(n)
         if len(self.up) < n:
-            n = max(n, 1 << 16, 2 * len(self.up))
-            up, down = np.full(n, self.base, _U), np.full(n, self.inverse, _U)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
+            self.up, self.down = self._make(min(self.KEPT, max(n + n // 4, 1 << 16)))
         return self.up, self.down
 
 

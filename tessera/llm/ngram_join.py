@@ -14,11 +14,16 @@ holds a single shingle is a difference of its own, so with s such subsets before
 key, and a key's rows that even its least lead rules out go before anything else. So passages that many documents share, whose
 shingles come last in the order, link nothing by themselves. Keys that the same documents share then count as one group.
 
-Documents of a group are candidates; pairs that sizes or parity bits rule out go. Equal sets link by their digest. Then every document is verified against
-the first document of the keys it shares, the one it shares most with; linked documents become components, and
-only pairs across components that share a key are verified after that. So a group of copies costs its size, not its square,
-and no link between components is lost. Frequencies of shingles for the cost order are counted over all documents in
-bounded summaries (a shingle missing from them counts as rare: dearer, never wrong).
+Documents of a group are candidates; pairs that sizes or parity bits rule out go. Equal sets link by their digest, and a task
+indexes a set once however many copies it meets. Then every document is verified against the first document of the
+keys it shares, the one it shares most with; linked documents become components, and only pairs across components that share a
+key are looked at after that. Their rows carry a fixed number of parity bits, so the join that meets them rules nearly all out
+and hands on no pair that these bits tell apart. So a group of copies costs its size, not its square, and no link between
+components is lost; documents that are near each other, but not near enough, still meet pair by pair inside that join.
+
+Frequencies of shingles for the cost order are counted over all documents in bounded summaries (a shingle missing from them
+counts as rare: dearer, never wrong). Keys that these find frequent are dealt out in several parts, and only their least lead
+and their members' sums are put together, by pre-aggregation and a join that adaptive execution may split.
 
 Defined cases: fewer than five words: the whole sequence is one shingle; a null or blank text has an empty set and links with
 nothing; a null doc_id links with nothing and its component is null; rows that repeat a doc_id are one node, whose
@@ -29,10 +34,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import Words, chunks, clean_name, cut, mix
+from .common import Scratch, Words, chunks, clean_name, cut, mix
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -41,6 +46,8 @@ FIRST_BAND, BAND_STEP, SEGMENTS = 1024, 8, 4
 HOT_KEPT, HOT_SHARE, HOT_ROWS = 1 << 15, 1 / 4000, 1 << 19
 #: Parity bits of a set: the least power of two that is no less than twice its size, and at least LEAST_BITS.
 FILTER_BITS, LEAST_BITS = 1 << 22, 512
+#: Parity bits that rows of candidate groups carry at most; documents that one key may gather in one part; sets that a task remembers.
+SKETCH_BITS, KEY_ROWS, REMEMBERED = 1024, 8192, 100_000
 _U = np.uint64
 
 
@@ -72,7 +79,7 @@ def bands(n: np.ndarray) -> list[tuple[np.ndarray, int]]:
 
 
 def index_keys(row, h, n_rows, hot: tuple[np.ndarray, np.ndarray]):
-    """(row, key, lead) of every subset that a document indexes."""
+    """(row, key, lead, cost) of every subset that a document indexes."""
     n = np.bincount(row, minlength=n_rows)
     weight = np.zeros(len(h), np.int64)
     if len(hot[0]):
@@ -108,103 +115,162 @@ def index_keys(row, h, n_rows, hot: tuple[np.ndarray, np.ndarray]):
         before[rank_order] = single[:-1] - single[first[doc[rank_order]]]
         need = n // 3 + 1
         take = rank < need[doc]
-        out.append((doc[take], key[take], 7 * before[take] - n[doc[take]]))
+        out.append((doc[take], key[take], 7 * before[take] - n[doc[take]], cost[take]))
         few = np.flatnonzero(chosen & (count < need) & (n > 0))
         if len(few):
             short = np.isin(doc, few)
             for s, e, d, t, full in zip(starts[short], ends[short], doc[short], tag[short], content[short], strict=True):
                 less = mix((full - mix(x[s:e])) ^ t ^ _U(1))  # what the subset is without one shingle
-                out.append((np.full(e - s + 1, d), np.append(less, mix(np.array([full ^ t ^ _U(1)], _U))), np.full(e - s + 1, -n[d])))
+                out.append((np.full(e - s + 1, d), np.append(less, mix(np.array([full ^ t ^ _U(1)], _U))), np.full(e - s + 1, -n[d]), np.zeros(e - s + 1, np.int64)))
             lost = few[2 * count[few] <= n[few] // 3]
             if len(lost):
-                out.append((lost, mix(m[lost].astype(_U) ^ _U(0xA5A5A5A5)), -n[lost]))
+                out.append((lost, mix(m[lost].astype(_U) ^ _U(0xA5A5A5A5)), -n[lost], np.zeros(len(lost), np.int64)))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(part) for part in zip(*out, strict=True))
 
 
-def hot_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles and their counts, sorted by hash; at most HOT_ROWS of them, from bounded summaries of all documents."""
+def digests(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each row's set."""
+    total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(h + _U(0x51ED270B)))])
+    ends = np.cumsum(n)
+    return mix((total[ends] - total[ends - n]) ^ n.astype(_U))
 
-    def count(batches):
-        keys, counts, n = np.zeros(0, _U), np.zeros(0, np.int64), 0
-        for batch in batches:
-            for i, j, data, offsets in chunks(batch.column(0)):
-                _, h, _ = shingle_sets(data, offsets)
-                n += j - i
-                u, c = np.unique(h, return_counts=True)
-                keys, where = np.unique(np.concatenate([keys, u]), return_inverse=True)
-                counts = np.bincount(where, weights=np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
-                if len(keys) > 8 * HOT_KEPT:
-                    best = np.sort(np.argpartition(-counts, HOT_KEPT)[:HOT_KEPT])
-                    keys, counts = keys[best], counts[best]
-        keep = (counts >= max(3, n * HOT_SHARE)) if len(keys) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_pydict({"h": pa.array(keys[keep].view(np.int64)), "n": pa.array(counts[keep])})
-
-    rows = docs.select("text").mapInArrow(count, "h long, n long")
-    top = rows.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT_ROWS).toArrow()
-    h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
 
+class _Counts:
+    """A bounded summary of the most frequent shingles of a task."""
 
-def key_rows(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, lead) of what documents index."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
+    def __init__(self):
+        self.keys, self.counts, self.rows = np.zeros(0, _U), np.zeros(0, np.int64), 0
 
-    def emit(batches):
-        hot = shared.value
-        for batch in batches:
-            ids = batch.column(0)
-            for i, j, data, offsets in chunks(batch.column(1)):
-                at, key, lead = index_keys(*shingle_sets(data, offsets), hot)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "doc_id": ids.slice(i, j - i).take(pa.array(at)), "lead": pa.array(lead.astype(np.int32))})
+    def add(self, h: np.ndarray, rows: int) -> None:
+        self.rows += rows
+        u, c = np.unique(h, return_counts=True)
+        keys, where = np.unique(np.concatenate([self.keys, u]), return_inverse=True)
+        counts = np.bincount(where, weights=np.concatenate([self.counts, c]), minlength=len(keys)).astype(np.int64)
+        if len(keys) > 8 * HOT_KEPT:
+            best = np.sort(np.argpartition(-counts, HOT_KEPT)[:HOT_KEPT])
+            keys, counts = keys[best], counts[best]
+        self.keys, self.counts = keys, counts
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(emit, "key long, doc_id long, lead int")
+    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+        keep = self.counts >= max(3, self.rows * HOT_SHARE)
+        return self.keys[keep], self.counts[keep]
 
 
-def shared_groups(docs: DataFrame) -> DataFrame:
-    """group_id, first, doc_id, lead, n_keys: documents that share keys; keys of the same documents are one group, with each document's least lead."""
-    group = Window.partitionBy("key")
-    rows = key_rows(docs).withColumn("least", F.min("lead").over(group)).where(F.col("lead") + F.col("least") <= 0)
-    h = F.xxhash64("doc_id")
-    low, high = F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).over(group), F.sum(F.shiftrightunsigned(h, 32)).over(group)
-    rows = rows.withColumns({"first": F.min("doc_id").over(group), "last": F.max("doc_id").over(group), "size": F.count(F.lit(1)).over(group), "low": low, "high": high})
-    rows = rows.where("first < last").select(F.xxhash64("last", "size", "low", "high").alias("group_id"), "first", "doc_id", "lead")
-    return rows.groupBy("group_id", "first", "doc_id").agg(F.min("lead").alias("lead"), F.count(F.lit(1)).alias("n_keys"))
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
 
 
-def facts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest and parity of every row: bit k of parity is the number of shingles in bucket k modulo 2."""
+def survey(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, digest, parity and sketch of every row: bit k of parity is the number of shingles in bucket k modulo
+    2, and sketch is parity folded to SKETCH_BITS. Rows whose n_shingles is null hold a task's frequent shingles, hot and n_hot."""
+    schema = "doc_id long, n_shingles long, digest long, parity array<long>, sketch array<long>, hot array<long>, n_hot array<long>"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def emit(batches):
+        counts = _Counts()
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(1)):
                 row, h, rows = shingle_sets(data, offsets)
+                counts.add(h, rows)
                 n = np.bincount(row, minlength=rows)
-                total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(h + _U(0x51ED270B)))])
-                ends = np.cumsum(n)
-                digest = mix((total[ends] - total[ends - n]) ^ n.astype(_U))
                 bits = np.full(rows, LEAST_BITS, np.int64)
                 while (low := bits < 2 * n).any():
                     bits[low] *= 2
                 begin = np.cumsum(bits) - bits
                 bucket = (mix(h ^ _U(0x2F0B4C47)) & (bits[row] - 1).astype(_U)).astype(np.int64)
-                odd = np.packbits((np.bincount(begin[row] + bucket, minlength=int(bits.sum())) & 1).astype(np.uint8)).tobytes()
-                parity = [odd[b : b + k] for b, k in zip(begin // 8, bits // 8, strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "n_shingles": pa.array(n), "digest": pa.array(digest.view(np.int64)), "parity": pa.array(parity, pa.binary())})
+                odd = np.packbits((np.bincount(begin[row] + bucket, minlength=int(bits.sum())) & 1).astype(np.uint8)).view(np.int64)
+                few = np.minimum(bits, SKETCH_BITS)
+                short = [np.bitwise_xor.reduce(odd[a // 64 : (a + k) // 64].reshape(-1, f // 64), 0) for a, k, f in zip(begin.tolist(), bits.tolist(), few.tolist(), strict=True)]
+                none = pa.nulls(rows, pa.list_(pa.int64()))
+                columns = [batch.column(0).slice(i, j - i), pa.array(n), pa.array(digests(row, h, n).view(np.int64)), _lists(odd, bits // 64), _lists(np.concatenate(short), few // 64), none, none]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        hot, times = counts.frequent()
+        if len(hot):
+            size = np.array([len(hot)])
+            none = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.list_(pa.int64()))] * 2
+            yield pa.RecordBatch.from_arrays([*none, _lists(hot.view(np.int64), size), _lists(times, size)], names)
+
+    return docs.mapInArrow(emit, schema)
+
+
+def hot_shingles(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles and their counts, sorted by hash; at most HOT_ROWS of them."""
+    rows = surveyed.where("n_shingles IS NULL").select(F.explode(F.arrays_zip("hot", "n_hot")).alias("x")).select("x.hot", "x.n_hot")
+    top = rows.groupBy("hot").agg(F.sum("n_hot").alias("n")).orderBy(F.desc("n"), "hot").limit(HOT_ROWS).toArrow()
+    h, n = top["hot"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def key_rows(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
+    """(key, parts, part, doc_id, lead) of what documents index: a frequent key is dealt out in parts. Of equal sets a task indexes the first
+    it meets, as long as it remembers it."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(surveyed))
+
+    def emit(batches):
+        hot, seen = shared.value, set()
+        for batch in batches:
+            ids = batch.column(0)
+            for i, j, data, offsets in chunks(batch.column(1)):
+                row, h, rows = shingle_sets(data, offsets)
+                new = np.zeros(rows, bool)
+                for k, d in enumerate(digests(row, h, np.bincount(row, minlength=rows)).tolist()):
+                    if d not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(d)
+                        new[k] = True
+                use = new[row]
+                at, key, lead, cost = index_keys(row[use], h[use], rows, hot)
+                own = ids.slice(i, j - i).take(pa.array(at))
+                parts = 1 + cost // KEY_ROWS
+                part = (mix(own.to_numpy(zero_copy_only=False).astype(np.int64).view(_U)) % parts.astype(_U)).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "parts": pa.array(parts.astype(np.int32)), "part": pa.array(part), "doc_id": own, "lead": pa.array(lead.astype(np.int32))})
+
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(emit, "key long, parts int, part int, doc_id long, lead int")
+
+
+def _members() -> dict[str, Column]:
+    """Aggregates that tell the members of a key."""
+    h = F.xxhash64("doc_id")
+    return {"first": F.min("doc_id"), "last": F.max("doc_id"), "size": F.count(F.lit(1)), "low": F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), "high": F.sum(F.shiftrightunsigned(h, 32))}
+
+
+def shared_groups(docs: DataFrame, surveyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """group_id, first, doc_id, lead, n_keys: documents that share keys; keys of the same documents are one group, with each document's least lead."""
+    group = Window.partitionBy("key", "part")
+    known = F.xxhash64("last", "size", "low", "high").alias("group_id")
+    rows = key_rows(docs, surveyed).withColumn("least", F.min("lead").over(group)).where("parts > 1 OR lead + least <= 0")
+    rows = rows.withColumns({k: v.over(group) for k, v in _members().items()}).where("parts > 1 OR first < last")
+    rows = scratch.cut(rows.select("key", "parts", known, "first", "doc_id", "lead"), "keys")
+    wide = rows.where("parts > 1").select("key", "doc_id", "lead")
+    wide = wide.join(wide.groupBy("key").agg(F.min("lead").alias("least")), "key").where("lead + least <= 0")
+    sums = wide.groupBy("key").agg(*[v.alias(k) for k, v in _members().items()]).where("first < last")
+    wide = wide.join(sums, "key").select(known, "first", "doc_id", "lead")
+    rows = rows.where("parts = 1").select("group_id", "first", "doc_id", "lead").unionByName(wide)
+    return rows.groupBy("group_id", "first", "doc_id").agg(F.min("lead").alias("lead"), F.count(F.lit(1)).alias("n_keys"))
+
+
+def _most(a: str, b: str) -> Column:
+    """By how many shingles sets of these sizes can differ at most, if they link."""
+    return F.floor((F.col(a) + F.col(b)) * (100 - PERCENT) / (100 + PERCENT)).cast("long")
+
 
-    return docs.mapInArrow(emit, "doc_id long, n_shingles long, digest long, parity binary")
+def sketches_differ(x: Column, y: Column) -> Column:
+    """Number of differing bits of two sketches; the longer one is folded to the length of the other."""
+    count = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda a, n: a + n)
+    half = lambda p: F.transform(F.slice(p, 1, F.size(p) / 2), lambda v, i: v.bitwiseXOR(F.get(p, i + (F.size(p) / 2).cast("int"))))
+    return F.when(F.size(x) == F.size(y), count(x, y)).when(F.size(x) == 2 * F.size(y), count(half(x), y)).when(2 * F.size(x) == F.size(y), count(x, half(y))).otherwise(F.lit(0))
 
 
-def _differing(x: bytes, y: bytes) -> int:
+def _differing(x: np.ndarray, y: np.ndarray) -> int:
     """Number of differing parity bits; the longer one is folded to the length of the other."""
     if len(x) < len(y):
         x, y = y, x
-    x = np.frombuffer(x, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ np.frombuffer(y, np.uint8)).sum(dtype=np.int64))
+    odd = np.bitwise_xor.reduce(x.reshape(-1, len(y)), 0) ^ y
+    return int(np.bitwise_count(odd.view(_U)).sum(dtype=np.int64))  # of signed numbers numpy counts the bits of the absolute value
 
 
 def could_link(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -219,8 +285,7 @@ def could_link(pairs: DataFrame, known: DataFrame) -> DataFrame:
     side = lambda k: known.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("parity").alias(f"{k}_p"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n"))
-    most = F.floor((F.col("a_n") + F.col("b_n")) * (100 - PERCENT) / (100 + PERCENT)).cast("long")
-    return both.where(near("a_p", "b_p", most)).select("a", "b").distinct()
+    return both.where(near("a_p", "b_p", _most("a_n", "b_n"))).select("a", "b").distinct()
 
 
 def equal_sets(known: DataFrame) -> DataFrame:
@@ -283,51 +348,61 @@ def verify(pairs: DataFrame, texts: DataFrame, per_task: int = 256) -> DataFrame
     return dealt.mapInArrow(emit, "a long, b long")
 
 
-def links(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """node, component of every document that links with another one; known: facts of docs."""
+def links(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
+    """node, component of every document that links with another one; surveyed: survey of docs."""
+    scratch = Scratch()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    equal = cut(equal_sets(known), "equal-sets")
-    # copies of a set are represented by their first document, which is also first of no fewer groups
-    groups = cut(cut(shared_groups(docs), "shared").join(equal.where("whole").select(F.col("b").alias("doc_id")), "doc_id", "left_anti"), "groups")
-    equal = equal.select("a", "b")
+    known = surveyed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "digest", "parity", "sketch")
+    equal = scratch.cut(equal_sets(known), "equal-sets")
+    # copies of a set are represented by their first document
+    same = equal.where("whole").select(F.col("b").alias("doc_id"), F.col("a").alias("rep"))
+    first = same.select(F.col("doc_id").alias("first"), F.col("rep").alias("rep_first"))
+    groups = shared_groups(docs, surveyed, scratch).join(same, "doc_id", "left").join(first, "first", "left")
+    groups = groups.select("group_id", F.coalesce("rep_first", "first").alias("first"), F.coalesce("rep", "doc_id").alias("doc_id"), "lead", "n_keys")
+    groups = scratch.cut(groups.groupBy("group_id", "first", "doc_id").agg(F.min("lead").alias("lead"), F.sum("n_keys").alias("n_keys")), "groups")
     counted = groups.where("doc_id != first").groupBy("doc_id", "first").agg(F.sum("n_keys").alias("c"))
     best = counted.groupBy("doc_id").agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("a")).select("a", F.col("doc_id").alias("b"))
-    best = cut(could_link(best, known), "first-pairs")
-    sure = cut(verify(best, candidate_texts(docs, best)), "verified")
+    best = scratch.cut(could_link(best, known), "first-pairs")
+    sure = scratch.cut(verify(best, candidate_texts(docs, best, scratch)), "verified")
     found = components(sure, "a", "b").select(F.col("node").alias("doc_id"), "component")
-    placed = known.where("n_shingles > 0").select("doc_id", "n_shingles").distinct().join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("c"))
-    group = Window.partitionBy("group_id", "first")
-    placed = groups.join(placed, "doc_id").withColumns({"c0": F.min("c").over(group), "c1": F.max("c").over(group)}).where("c0 < c1")
-    placed = cut(placed.select("group_id", "first", "doc_id", "lead", "n_shingles", "c"), "open-groups")
-    x, y = placed.alias("x"), placed.alias("y")
-    same = (F.col("x.group_id") == F.col("y.group_id")) & (F.col("x.first") == F.col("y.first")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c"))
-    sizes = 100 * F.least("x.n_shingles", "y.n_shingles") >= PERCENT * F.greatest("x.n_shingles", "y.n_shingles")
-    across = x.join(y, same & sizes & (F.col("x.lead") + F.col("y.lead") <= 0))
-    across = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    across = cut(could_link(across, known).join(best, ["a", "b"], "left_anti"), "more-pairs")
-    more = verify(across, candidate_texts(docs, across))
-    return components(sure.unionByName(more).unionByName(equal), "a", "b")
-
-
-def candidate_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    placed = scratch.cut(groups.join(found, "doc_id", "left").select("group_id", "first", "doc_id", "lead", F.coalesce("component", "doc_id").alias("c")), "placed")
+    open_ = placed.groupBy("group_id", "first").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("group_id", "first")
+    placed = placed.join(open_, ["group_id", "first"], "left_semi").join(known.select("doc_id", "n_shingles", "sketch").distinct(), "doc_id")
+    placed = scratch.cut(placed, "open-groups")
+    x, y = (placed.select("group_id", "first", *[F.col(c).alias(f"{k}_{c}") for c in ("doc_id", "lead", "n_shingles", "sketch", "c")]) for k in "xy")
+    apart = (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_c") != F.col("y_c")) & (F.col("x_lead") + F.col("y_lead") <= 0)
+    sizes = 100 * F.least("x_n_shingles", "y_n_shingles") >= PERCENT * F.greatest("x_n_shingles", "y_n_shingles")
+    near = sketches_differ(F.col("x_sketch"), F.col("y_sketch")) <= _most("x_n_shingles", "y_n_shingles")
+    met = (x["group_id"] == y["group_id"]) & (x["first"] == y["first"])
+    across = x.join(y, met & apart & sizes & near).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+    across = scratch.cut(across.join(best, ["a", "b"], "left_anti"), "met")
+    across = scratch.cut(could_link(across, known), "more-pairs")
+    more = scratch.cut(verify(across, candidate_texts(docs, across, scratch)), "verified")
+    out = components(sure.unionByName(more).unionByName(equal.select("a", "b")), "a", "b")
+    scratch.clear()
+    return out
+
+
+def candidate_texts(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Texts of the documents in pairs; a fixed-size filter keeps most others from being dealt out."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     maybe = _possible(ids)
-    return cut(docs.where(maybe("doc_id")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "candidate-texts")
+    return scratch.cut(docs.where(maybe("doc_id")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "candidate-texts")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id; a row a document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = cut(facts(docs), "facts")
-    found = links(docs, known)
-    out = known.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
+    surveyed = cut(survey(docs), "survey")
+    found = links(docs, surveyed)
+    out = surveyed.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: the least doc_id; documents that link with nothing stay, rows that repeat a doc_id stay or go together."""
-    node = clean_name(docs, "join_node")
+    node, scratch = clean_name(docs, "join_node"), Scratch()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = links(docs, cut(facts(texts), "facts")).where(F.col("node") != F.col("component")).select(F.col("node").alias(node))
+    gone = links(texts, scratch.cut(survey(texts), "survey")).where(F.col("node") != F.col("component")).select(F.col("node").alias(node))
+    scratch.clear()
     return docs.join(gone, docs["doc_id"] == gone[node], "left_anti")

@@ -130,7 +130,7 @@ def test_index_keys_of_small_sets_meet():
             if 100 * len(a) < 75 * len(b):
                 continue
             row = np.repeat([0, 1], [len(a), len(b)])
-            r, key, lead = ngram_join.index_keys(row, np.concatenate([a, b]), 2, none)
+            r, key, lead, _ = ngram_join.index_keys(row, np.concatenate([a, b]), 2, none)
             x, y = (dict(zip(key[r == k].tolist(), lead[r == k].tolist(), strict=True)) for k in (0, 1))
             assert any(x[k] + y[k] <= 0 for k in x.keys() & y.keys()), (n, extra)
 
@@ -145,7 +145,7 @@ def test_leads_allow_every_similar_pair():
             p = seed * most // 5
             a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in (p, most - p))
             hot = np.unique(rng.choice(common, n // 2))
-            r, key, lead = ngram_join.index_keys(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2, (hot, np.full(len(hot), 9)))
+            r, key, lead, _ = ngram_join.index_keys(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2, (hot, np.full(len(hot), 9)))
             x, y = (dict(zip(key[r == k].tolist(), lead[r == k].tolist(), strict=True)) for k in (0, 1))
             assert any(x[k] + y[k] <= 0 for k in x.keys() & y.keys()), (n, p)
 
