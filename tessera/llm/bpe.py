@@ -11,7 +11,8 @@ import pyarrow as pa
 
 from .common import _BYTE, _byte_values, mix, text_bytes
 
-_PIECE_BYTES = 4 << 20
+#: Texts are encoded in pieces of about so many bytes, which bounds the temporaries of a worker (some twenty arrays of 8 bytes a byte).
+_PIECE_BYTES = 1 << 19
 _U = np.uint64
 
 
@@ -55,7 +56,7 @@ class Encoder:
     are ordinary text. Units are told apart by a 64-bit hash of their bytes and their length; two generations of at
     most most_units are remembered, so memory is bounded."""
 
-    def __init__(self, path: str, most_units: int = 300_000):
+    def __init__(self, path: str, most_units: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -171,10 +172,28 @@ class Encoder:
         while i < n:
             j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + _PIECE_BYTES, "right")) - 1))
             part = data[offsets[i] : offsets[j]]
-            ids, count = self._piece(part, offsets[i : j + 1] - offsets[i])
+            ids, count = self._piece(part, offsets[i : j + 1] - offsets[i]) if len(part) <= 2 * _PIECE_BYTES else self._long(part)
             yield i, ids, count
             i = j
 
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of one long text, by pieces that end where a unit starts."""
+        found, at, size = [], 0, _PIECE_BYTES
+        while at < len(data):
+            end = min(len(data), at + size)
+            if end < len(data):
+                # the byte behind is looked at too: whether a unit starts depends on its neighbours
+                starts = unit_starts(data[at : end + 1], np.array([0, end + 1 - at]))
+                starts = starts[(starts > 1) & (starts < end - at)]
+                if not len(starts):  # one unit: try a longer piece
+                    size *= 2
+                    continue
+                end = at + int(starts[-1])
+            found.append(self._piece(data[at:end], np.array([0, end - at]))[0])
+            at, size = end, _PIECE_BYTES
+        ids = np.concatenate(found)
+        return ids, np.array([len(ids)])
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

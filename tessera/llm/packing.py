@@ -1,12 +1,13 @@
 """Packing along a space-filling curve.
 
-Each document's ids are hashed to a vector (pairs of neighbouring ids, 2**16 buckets), which a fixed random matrix
-projects to DIMS dimensions; scaled to a standard normal and cut to BITS bits each, they give the document's place on a
-Hilbert curve. Documents are range-sorted by that key, so that like documents are neighbours, and laid end to end into
-sequences of SEQUENCE ids. The rest at a partition's end is parted at powers of two, which need no padding.
-
-Ties on the curve (copies) are ordered by doc_id and text hash, and ranges part inside a tie, so a group of copies is not
-one task. Defined cases: a null or empty text is its end id alone; a document longer than a sequence is cut; an empty
+Each document's ids are hashed to a vector (2**16 buckets, log(1 + count) each, scaled to length 1), which a fixed random matrix projects to DIMS dimensions. Quantiles of these over all documents cut each dimension into
+2**BITS cells, so no cell at an edge gathers what is far out, and the cells give the document's place on a Hilbert
+curve. Documents are sorted along it, so that like documents are neighbours, and laid end to end into sequences of
+SEQUENCE ids. The rest at a partition's end is parted at powers of two, which need no padding.
+
+Partitions are stretches of the curve with like numbers of ids: ids are summed by the first COARSE bits of the key (at most
+2**COARSE sums come to the driver). A stretch that holds more than one partition's share, such as a group of copies, is parted
+by a hash of doc_id and ids. Ties on the curve are ordered by doc_id and ids. Defined cases: a null or empty text is its end id alone; a document longer than a sequence is cut; an empty
 table gives no rows; other columns are ignored; rows that repeat a doc_id are packed each for itself (row tells them apart).
 """
 
@@ -18,13 +19,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import default_tokenizer, encoder, with_end
 from .common import cut, mix, partitions
 from .token_files import bits_for, pack, unpack
 
 SEQUENCE, DIMS, BITS = 1024, 4, 8
+#: Accuracy of the quantiles: their ranks are wrong by at most one in so many.
+COARSE, ACCURACY = 16, 5000
 
 
 @lru_cache(1)
@@ -60,24 +63,67 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Hilbert key of each document; every document has at least one id."""
-    ends = np.cumsum(n)
-    starts = ends - n
-    pair = ids.astype(np.uint64)
-    pair[:-1] = pair[:-1] * np.uint64(1 << 20) + pair[1:]
-    pair[ends - 1] = 0  # no pair reaches into the next document
-    bucket = (mix(pair) >> np.uint64(48)).astype(np.int64)
-    sums = np.empty((len(n), DIMS), np.float32)
+def coordinates(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Projected vectors of documents, one row each; every document has at least one id."""
+    doc = np.repeat(np.arange(len(n)), n)
+    keys, times = np.unique((doc << 16) | (mix(ids.astype(np.uint64)) >> np.uint64(48)).astype(np.int64), return_counts=True)
+    weight = np.log1p(times)
+    starts = np.searchsorted(keys >> 16, np.arange(len(n)))
+    size = np.sqrt(np.add.reduceat(weight * weight, starts))
+    out = np.empty((len(n), DIMS), np.float64)
     for d in range(DIMS):
-        sums[:, d] = np.add.reduceat(_projection()[:, d][bucket], starts)
-    unit = sums / np.sqrt(n)[:, None]
-    cells = np.clip((unit + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-    return hilbert_key(cells, BITS)
+        out[:, d] = np.add.reduceat(weight * _projection()[:, d][keys & 0xFFFF], starts)
+    return out / size[:, None]
+
+
+def cell_bounds(tok: DataFrame) -> np.ndarray:
+    """For each dimension the 2**BITS - 1 quantiles that part its cells, over all documents."""
+    shares = [k / (1 << BITS) for k in range(1, 1 << BITS)]
+    row = tok.agg(*[F.percentile_approx(F.get("at", F.lit(d)), shares, ACCURACY) for d in range(DIMS)]).first()
+    return np.array([x or [0.0] * len(shares) for x in row])
+
+
+def on_curve(bounds: np.ndarray, first: np.ndarray | None = None) -> Column:
+    """Struct of the column at: its Hilbert key and the partition, or without these the stretch of the curve, that it lies in."""
+    drop = DIMS * BITS - COARSE
+
+    @F.arrow_udf("curve_key long, part int")
+    def place(at: pa.Array) -> pa.Array:
+        x = np.asarray(at.flatten()).reshape(-1, DIMS)
+        key = hilbert_key(np.stack([np.searchsorted(bounds[d], x[:, d]) for d in range(DIMS)], 1), BITS)
+        part = key >> drop
+        return pa.StructArray.from_arrays([pa.array(key), pa.array((part if first is None else first[part]).astype(np.int32))], ["curve_key", "part"])
+
+    return place("at")
+
+
+def shares(by: np.ndarray, n: int) -> tuple[np.ndarray, dict[int, int]]:
+    """First partition of each stretch that holds by[c] ids, and how many partitions a stretch takes where more than one."""
+    share = max(1.0, by.sum() / n)
+    begin = (np.cumsum(by) - by) / share
+    first = np.minimum(begin, n - 1).astype(np.int32)
+    last = np.clip(np.ceil(begin + by / share) - 1, first, n - 1).astype(np.int32)
+    return first, {int(c): int(last[c] - first[c] + 1) for c in np.flatnonzero((by > share) & (last > first))}
+
+
+def deal(tok: DataFrame, n: int) -> DataFrame:
+    """tok with curve_key, in n partitions along the curve that hold like numbers of ids."""
+    bounds = cell_bounds(tok)
+    sums = tok.select(on_curve(bounds)["part"].alias("c"), "n_ids").groupBy("c").agg(F.sum("n_ids").alias("n")).toArrow()
+    by = np.zeros(1 << COARSE, np.float64)
+    by[sums["c"].to_numpy()] = sums["n"].to_numpy()
+    first, wide = shares(by, n)
+    placed = tok.withColumn("to", on_curve(bounds, first)).withColumn("curve_key", F.col("to")["curve_key"])
+    part = F.col("to")["part"]
+    if wide:  # fewer than n stretches
+        stretch = F.shiftright("curve_key", DIMS * BITS - COARSE).cast("int")
+        table = F.create_map(*[F.lit(x) for pair in wide.items() for x in pair])
+        part = part + F.coalesce(F.pmod(F.xxhash64("doc_id", "ids"), F.element_at(table, stretch)), F.lit(0)).cast("int")
+    return placed.withColumn("part", part).drop("to").repartitionById(n, "part").sortWithinPartitions("curve_key", "doc_id", "ids")
 
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, its key on the curve, its number of ids and the ids, bit-packed."""
+    """doc_id, its projected vector, its number of ids and the ids, bit-packed."""
 
     def rows(batches):
         enc = encoder(tokenizer)
@@ -88,9 +134,9 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 if not len(n):
                     continue
                 ends = np.cumsum(n)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(n)), "curve_key": pa.array(curve_keys(ids, n)), "n_ids": pa.array(n), "bits": pa.array(np.full(len(n), bits, np.int32)), "ids": pa.array([pack(ids[b - c : b], bits) for b, c in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(n)), "at": pa.FixedSizeListArray.from_arrays(pa.array(coordinates(ids, n).ravel()), DIMS).cast(pa.list_(pa.float64())), "n_ids": pa.array(n), "bits": pa.array(np.full(len(n), bits, np.int32)), "ids": pa.array([pack(ids[b - c : b], bits) for b, c in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, curve_key long, n_ids long, bits int, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, at array<double>, n_ids long, bits int, ids binary")
 
 
 def sequences(total: int, length: int) -> np.ndarray:
@@ -101,9 +147,8 @@ def sequences(total: int, length: int) -> np.ndarray:
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, length: int = SEQUENCE) -> DataFrame:
     """Pieces of documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row."""
-    spark = docs.sparkSession
     tok = cut(tokenised(docs, tokenizer or default_tokenizer(), end_id), "tokenised")
-    ordered = tok.repartitionByRange(partitions(spark), "curve_key", "doc_id", F.crc32("ids")).sortWithinPartitions("curve_key", "doc_id", "ids")
+    ordered = deal(tok, partitions(docs.sparkSession))
 
     def emit(held, last, state):
         """Pieces of held documents in as many full sequences as they fill; the rest of them stays, unless last."""
