@@ -1,28 +1,33 @@
 """Personal data: candidate spans by high-recall patterns, boosted trees over format and context, calibrated thresholds.
 DataFrame functions only on the main path.
 
-Generators propose spans of a kind; they may overlap. Those that pass their kind's strict test (the base) always count. For
-the others, boosted trees decide: every candidate of all documents is binned into a few format and context features,
-equal vectors are counted (passing and failing the strict test, at most BINS rows by construction), trees of depth two are
-grown on these counts, and the threshold is the least score at which the candidates above it reach PRECISION. Trees
-compile to nested CASE expressions, so scoring is one projection.
+Generators propose spans of a kind; they may overlap. Those that pass their kind's base test always count. For the others,
+boosted trees decide. They are grown on snippets that templates write (pii_snippets): values that are personal data where they
+stand, and look-alikes that aren't, so the truth is not made from the features. Candidates of the snippets are binned into format and
+context features, equal vectors are counted, and trees of depth two are grown on the counts. Each kind has a threshold of its own: the
+least score at which snippets of other templates reach PRECISION; a kind that never does takes nothing. Trees compile to CASE
+expressions, so finding, scoring and choosing is one projection with no shuffle; the fit is made once a process.
 
 Patterns are anchored at the start of their runs and use possessive repeats, so a long run costs linear time; places come
 from the lengths between matches, summed in blocks. Defined cases: a null or empty text has no spans; spans count code
-points, end exclusive; equal rows get equal results; with no candidates no trees are grown; an empty table gives no rows.
+points, end exclusive; equal rows get equal results; other columns stay with detect() (one named as its output is renamed
+<name>_in) and with redact(); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import clean_name, cut
+from .common import clean_name, make_room
+from .pii_snippets import snippets
 from .quality import let
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "iban", "id")
 #: (kind, pattern, base or not). \G keeps leftmost search whole where a match may begin inside a run that another match ended in.
 GENERATORS = (
     ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", True),
@@ -32,12 +37,20 @@ GENERATORS = (
     ("phone", r"(?<![0-9+])(?<!\+[0-9]{1,3}[ .-]{1,2})(?<!\+[0-9]{1,3}[ .-]{1,2}\()\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", False),
     ("card", r"(?<![0-9])[0-9]{13}(?![0-9])", False),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", False),
-    ("secret", r"(?i)(?<![a-z])(?:token|secret|password|api_?key) ?[=:] ?[\"'][^\"'\s]{8,}+[\"']", False),
+    ("secret", r"(?i)(?<![a-z])(?:token|secret|password|(?:api|access)[_-]?key) ?[=:] ?[\"'][^\"'\s]{8,}+[\"']", False),
+    ("secret", r"(?i)(?<![a-z])(?:token|secret|password|(?:api|access)[_-]?key) ?[=:] ?[a-z0-9+/_.-]{12,}+", False),
+    ("secret", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", False),
+    ("secret", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", False),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", False),
+    ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", False),
 )
 #: Texts without any of these have no candidate.
-HINT = r"[0-9@]|[\[(]at[\])]|(?i:token|secret|password|key) ?[=:]"
+HINT = r"[0-9@]|[\[(]at[\])]|(?i:token|secret|password|key) ?[=:]|PRIVATE KEY|sk-|gh[pousr]_|eyJ"
 OCTET = r"0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-PRECISION, ROUNDS, RATE, BINS = 0.9, 12, 0.5, 8 * 4 * 4 * 3 * 4 * 4 * 2
+PRECISION, ROUNDS, RATE = 0.9, 30, 0.5
+#: Words that speak for a kind, and words that speak for no personal data.
+FOR = {"email": "mail|contact|write|author|questions", "ip": "host|server|addr|ip", "card": "card|visa|paid|pay|charge|amex", "phone": "phone|tel|call|mobile|cell|fax|reach", "secret": "key|token|secret|export|config", "iban": "iban|account|bank|transfer|pay", "id": "ssn|social|security|tax"}
+AGAINST = "version|order|ref|isbn|ean|part|sku|ticket|invoice|item|serial|model|article|stock|build|release|product|code|section|firmware|update|barcode|stamp"
 _BLOCK = 64
 
 
@@ -63,8 +76,15 @@ def _n_digits(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^0-9]", ""))
 
 
+def _mod97(text: Column) -> Column:
+    flat = F.replace(text, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(flat, F.lit(5), F.length(flat)), F.left(flat, F.lit(4)))
+    values = F.transform(F.split(turned, ""), lambda c: F.conv(c, 36, 10).cast("int"))
+    return F.aggregate(values, F.lit(0), lambda a, v: F.when(v < 10, (a * 10 + v) % 97).otherwise((a * 100 + v) % 97)) == 1
+
+
 def _strict(kind: str, text: Column) -> Column:
-    """Whether a span passes its kind's strict test; secrets and obfuscated mail have none but their own form."""
+    """Whether a span passes its kind's strict test; one of the features."""
     if kind == "ip":
         return text.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")
     if kind == "card":
@@ -73,7 +93,11 @@ def _strict(kind: str, text: Column) -> Column:
         return _n_digits(text).between(10, 15)
     if kind == "email":
         return text.rlike(r"\.[A-Za-z]{2,}$")
-    return text.rlike(r"[0-9]") & text.rlike(r"[\"'][A-Za-z0-9+/_=.-]{16,}[\"']$")
+    if kind == "iban":
+        return _mod97(text)
+    if kind == "id":
+        return ~text.rlike("^(?:000|666|9)|-00-|0000$")
+    return text.rlike("[0-9]") & text.rlike("[A-Za-z0-9+/_.-]{16,}[\"']?$")
 
 
 _BASE_TEST = {"email": lambda x: F.lit(True), "ip": lambda x: _strict("ip", x), "card": lambda x: _strict("card", x), "phone": lambda x: _strict("phone", x)}
@@ -92,14 +116,15 @@ def _spans(text: Column, g: int) -> Column:
                 start = F.get(before, i) + F.length(gap)
                 prev, post = F.right(gap, F.lit(1)), F.left(after, F.lit(1))
                 side = lambda c: F.when(c == "", 0).when(c.rlike(r"[\s\"'(\[<]"), 1).when(c.rlike(r"[\p{L}0-9]"), 2).otherwise(3)
-                size, digits = F.length(hit), _n_digits(hit)
+                size, digits, ahead = F.length(hit), _n_digits(hit), F.right(gap, F.lit(32))
+                value = F.regexp_extract(hit, r"([^=:]+)$", 1) if kind == "secret" else hit
+                has = lambda p, c=value: c.rlike(p).cast("int")
                 return F.struct(
-                    start.alias("s"), (start + size).alias("e"), F.lit(KINDS.index(kind)).alias("k"),
-                    (_BASE_TEST[kind](hit) if base else F.lit(False)).alias("base"), _strict(kind, hit).alias("ok"),
+                    start.alias("s"), (start + size).alias("e"), F.lit(KINDS.index(kind)).alias("k"), (_BASE_TEST[kind](hit) if base else F.lit(False)).alias("base"),
                     F.array(
                         F.lit(g), F.when(size < 12, 0).when(size < 17, 1).when(size < 30, 2).otherwise(3), F.when(digits < 4, 0).when(digits < 10, 1).when(digits < 16, 2).otherwise(3),
-                        F.when(hit.rlike(r"[ ()]"), 2).when(hit.rlike(r"[.-]"), 1).otherwise(0), side(prev), side(post),
-                        F.right(gap, F.lit(24)).rlike(r"(?i)mail|phone|tel|call|card|visa|addr|server|host|contact|ip|token").cast("int"),
+                        F.when(hit.rlike(r"[ ()]"), 2).when(hit.rlike(r"[.-]"), 1).otherwise(0), side(prev), side(post), has(rf"(?i)\b(?:{FOR[kind]})", ahead), has(rf"(?i)\b(?:{AGAINST})", ahead),
+                        _strict(kind, hit).cast("int"), has("[a-z]") + has("[A-Z]") + has("[0-9]"), has(r"(.)\1{5}|(?i:example|change|your|value|manual|insert|not-set)"),
                     ).alias("x"),
                 )
 
@@ -111,7 +136,7 @@ def _spans(text: Column, g: int) -> Column:
     return let(hits, lambda h: F.when(F.size(h) > 0, let(F.struct(F.split(text, pattern, -1).alias("gaps"), h.alias("hits")), located)))
 
 
-SPAN = "array<struct<s:int,e:int,k:int,base:boolean,ok:boolean,x:array<int>>>"
+SPAN = "array<struct<s:int,e:int,k:int,base:boolean,x:array<int>>>"
 
 
 def candidates(docs: DataFrame, name: str) -> DataFrame:
@@ -122,8 +147,8 @@ def candidates(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, F.when(text.rlike(HINT), each).otherwise(empty))
 
 
-def grow(rows: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS, rate: float = RATE) -> tuple[list, float, float]:
-    """Gradient boosting with trees of depth two on counted vectors (x, passed, failed): trees, intercept, threshold."""
+def grow(rows: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS, rate: float = RATE) -> tuple[list, float]:
+    """Gradient boosting with trees of depth two on counted vectors (x, personal, not): trees and intercept."""
     x = np.array([r[0] for r in rows])
     pos, neg = (np.array([r[i] for r in rows], float) for i in (1, 2))
     n = pos + neg
@@ -157,17 +182,49 @@ def grow(rows: list[tuple[tuple[int, ...], int, int]], rounds: int = ROUNDS, rat
                 z[leaf] += value
                 tree.append((root, hit, sub, yes, float(value)))
         trees.append(tree)
-    order = np.argsort(-z, kind="stable")
-    share = np.cumsum(pos[order]) / np.cumsum(n[order])
-    good = np.flatnonzero((share >= PRECISION) & np.append(z[order][:-1] > z[order][1:], True))
-    return trees, bias, float(z[order][good[-1]]) if len(good) else math.inf
+    return trees, bias
+
+
+def margin(x: tuple[int, ...], trees: list, bias: float) -> float:
+    """Score of one vector."""
+    holds = lambda split, yes: split is None or (x[split[0]] == split[1]) == yes
+    return bias + sum(leaf for tree in trees for root, hit, sub, yes, leaf in tree if holds(root, hit) and holds(sub, yes))
+
+
+def calibrate(rows: list[tuple[tuple[int, ...], int, int]], trees: list, bias: float) -> list[float]:
+    """Threshold of each kind: the least score at which counted vectors (x, personal, not) above it reach PRECISION."""
+    out = []
+    for kind in KINDS:
+        own = sorted(((margin(x, trees, bias), p, n) for x, p, n in rows if GENERATORS[x[0]][0] == kind), reverse=True)
+        least, good, every = math.inf, 0, 0
+        for i, (z, p, n) in enumerate(own):
+            good, every = good + p, every + p + n
+            if good >= PRECISION * every and (i + 1 == len(own) or own[i + 1][0] < z):
+                least = z
+        out.append(least)
+    return out
+
+
+def snippet_counts(spark: SparkSession, *folds: str) -> list[list[tuple[tuple[int, ...], int, int]]]:
+    """For each fold (x, personal, not) of the candidates that its snippets give; a candidate is personal if it meets a value that counts."""
+    names = ("fold", "text", "kind", "s", "e", "counts")
+    rows = [dict(zip(names, (i, *r[1:]), strict=True)) for i, fold in enumerate(folds) for r in snippets(fold)]
+    table = spark.sql("SELECT inline(from_json(:rows, 'array<struct<fold:int,text:string,kind:string,s:int,e:int,counts:boolean>>'))", args={"rows": json.dumps(rows)})
+    found = candidates(table, "c").select("fold", "kind", "s", "e", "counts", F.explode("c").alias("c")).where("NOT c.base")
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    # a generator may take a little more or less than the value: the key's name before it, a mark behind it
+    meets = (F.col("c.s") < F.col("e")) & (F.col("c.e") > F.col("s"))
+    personal = F.col("counts") & meets & (F.get(kinds, F.col("c.k")) == F.col("kind"))
+    got = found.groupBy("fold", "c.x").agg(F.sum(personal.cast("long")).alias("p"), F.sum((~personal).cast("long")).alias("n")).collect()
+    return [sorted((tuple(r.x), r.p, r.n) for r in got if r.fold == i) for i in range(len(folds))]
 
 
-def train(found: DataFrame, name: str) -> tuple[list, float, float]:
-    """Trees from the counts of every binned vector; at most BINS rows come to the driver."""
-    one = found.select(F.explode(name).alias("c")).select("c.x", "c.ok")
-    rows = one.groupBy("x").agg(F.sum(F.col("ok").cast("long")).alias("p"), F.sum((~F.col("ok")).cast("long")).alias("n")).collect()
-    return grow(sorted((tuple(r.x), r.p, r.n) for r in rows)) if rows else ([], 0.0, math.inf)
+@lru_cache(1)
+def model() -> tuple[list, float, list[float]]:
+    """Trees, intercept and thresholds by kind; the fit depends on the snippets alone."""
+    first, second = snippet_counts(SparkSession.active(), "grow", "calibrate")
+    trees, bias = grow(first)
+    return trees, bias, calibrate(second, trees, bias)
 
 
 def _margin(x: Column, trees: list, bias: float) -> Column:
@@ -184,13 +241,13 @@ def _margin(x: Column, trees: list, bias: float) -> Column:
     return total
 
 
-def choose(found: DataFrame, name: str, model: tuple[list, float, float]) -> DataFrame:
-    """Keep base spans, and candidates whose margin reaches the threshold and that no base span equals; ordered by start, then kind."""
-    trees, bias, least = model
+def choose(found: DataFrame, name: str, fitted: tuple[list, float, list[float]]) -> DataFrame:
+    """Keep base spans, and candidates whose score reaches their kind's threshold and that no base span equals; ordered by start, then kind."""
+    trees, bias, least = fitted
+    most = F.array(*[F.lit(float(z)) for z in least])
 
     def picked(c):
-        ok = c["base"] | (_margin(c["x"], trees, bias) >= F.lit(least)) if trees and math.isfinite(least) else c["base"]
-        return ok
+        return c["base"] | (_margin(c["x"], trees, bias) >= F.get(most, c["k"]))
 
     slim = lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), c["base"].alias("base"))
     kept = F.transform(F.filter(F.col(name), picked), slim)
@@ -202,9 +259,9 @@ def choose(found: DataFrame, name: str, model: tuple[list, float, float]) -> Dat
 
 def detect(docs: DataFrame, name: str = "spans", keep: list[str] | None = None) -> DataFrame:
     """The columns keep of docs (all, if None) with chosen spans: array of s, k (place in KINDS), e, base."""
+    docs = make_room(docs, name)
     found = candidates(docs, name).select(*(docs.columns if keep is None else keep), name)
-    found = cut(found, "candidates")
-    return choose(found, name, train(found, name))
+    return choose(found, name, model())
 
 
 def render(spans: Column) -> Column:
