@@ -1,42 +1,55 @@
 """License scan with a positional index of rare words; DataFrame functions only.
 
-Templates are runs of licence words; the index holds, for each word, the (template, place) pairs where it stands. The
-document frequency of every licence word is counted over all documents. Words in at most RARE_SHARE of documents have
-postings in every template; besides, each template has postings of the NEED rarest words of its mandatory phrase, whatever
-their share. A file is looked up by all such words it holds: each place minus the word's place in a template is where the
-template would start, and starts that NEED words agree on are candidates. A candidate counts if the template's mandatory
-phrase stands at its place. Agreeing starts are found by sorting them, so a file that repeats one licence word costs n log n.
+Templates are runs of licence words: short notices and the paragraphs of whole licence texts. The index holds (template, place)
+pairs of words. The document frequency of every licence word is counted over all documents, and each template is indexed by its
+RARE rarest words and by the NEED rarest ones of its mandatory phrase; ranks decide, never a share of documents, so a notice that
+stands in every file is found like any other. A file is looked up by all indexed words it holds: each place minus the word's place
+in a template is where the template would start, and starts that NEED words agree on are candidates. A candidate counts if
+the template's mandatory phrase stands at its place; as its rarest words are indexed, no file with the phrase is missed. Agreeing
+starts are found by sorting them, so a file that repeats one licence word costs n log n.
 
 The base phrases are searched for in every file, whatever the index says. Only counts of licence words are shuffled.
 
 Defined cases: a null or empty text has no words and empty labels; words are compared by their lower-cased form; equal rows
-get equal results; an empty table gives no rows; other columns are kept by scan().
+get equal results; an empty table gives no rows; other columns are kept by scan(), one named as an output of it (in any case of
+letters) as <name>_in.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import clean_name
+from .common import clean_name, make_room
 from .quality import let
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RARE_SHARE, NEED = 0.05, 2
+RARE, NEED = 6, 2
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Fixed values: (label, template, mandatory phrase in it), from the licences' own notices.
+#: Fixed values: (label, template, mandatory phrase in it), from the licences' own notices and texts.
 TEMPLATES = (
     ("mit", "released under the mit license", "the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby granted free of charge"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", "hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies or substantial portions"),
     ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "software distributed under the license is distributed on an as is basis"),
     ("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
     ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "terms of the gnu general public license"),
-    ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version", "terms of the gnu general public license"),
+    ("lgpl", "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("agpl", "redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "to alter it and redistribute it freely"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
+    ("bsl-1", "distributed under the boost software license version 1 0", "boost software license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0 universal"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
@@ -81,13 +94,12 @@ def _base(norm: Column, n_words: Column) -> dict[str, Column]:
 def _postings(shares: dict[str, float]) -> dict[str, list[int]]:
     """Codes (template, minus place) by word, rarest words first."""
     idf = lambda w: (shares.get(w, 0), w)
-    out = {}
-    for w in sorted(vocabulary(), key=idf):
-        rare = shares.get(w, 0) <= RARE_SHARE
-        codes = [(t << _SHIFT) - place for t, (_, text, must) in enumerate(TEMPLATES) for place, x in enumerate(text.split()) if x == w and (rare or w in sorted(set(must.split()), key=idf)[:NEED])]
-        if codes:
-            out[w] = codes
-    return out
+    out: dict[str, list[int]] = {}
+    for t, (_, text, must) in enumerate(TEMPLATES):
+        words = text.split()
+        for w in {*sorted(set(words), key=idf)[:RARE], *sorted(set(must.split()), key=idf)[:NEED]}:
+            out.setdefault(w, []).extend((t << _SHIFT) - place for place, x in enumerate(words) if x == w)
+    return {w: out[w] for w in sorted(out, key=idf)}
 
 
 def _candidates(words: Column, shares: dict[str, float]) -> Column:
@@ -125,8 +137,8 @@ def _verified(words: Column, codes: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    own = [c for c in docs.columns if c not in added]
+    docs = make_room(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    own = docs.columns
     shares = document_shares(docs)
     w_at, c_at = clean_name(docs, "scan_words"), clean_name(docs, "scan")
     step1 = docs.select(*own, word_array(F.col("text")).alias(w_at))
