@@ -6,14 +6,15 @@ long text costs n log n in its own words at most.
 
 Repeated windows are told by a 64-bit hash of their words' hashes within one document. Defined cases: a null or blank
 text has no words: all measures are 0, base_failed is true and kept is false; a line counts only if it has a word, and
-equals another by its characters; equal rows get equal verdicts; an empty table gives no rows; other columns stay.
+equals another by its characters; equal rows get equal verdicts; an empty table gives no rows; other columns stay, one named as an output (in any
+case of letters) as <name>_in.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, clean_name
+from .common import SPACE, clean_name, make_room
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -72,7 +73,8 @@ def measures(text: Column) -> dict[str, Column]:
 
 def quality(docs: DataFrame, rules=RULES) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the first rule that fails."""
-    own = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")]
+    docs = make_room(docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+    own = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
     words_at, m_at = clean_name(docs, "q_words"), clean_name(docs, "q")
     words = F.filter(F.split(text, SPACE), lambda w: w != "")

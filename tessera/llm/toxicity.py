@@ -11,7 +11,8 @@ out. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: a null or blank text is scored by the intercept; a null doc_id is not held out; labels that are null are
 skipped, conflicting ones of one document count as toxic; with no labels of a class all scores are 0; equal texts get equal
-scores; an empty table gives no rows; other columns stay.
+scores; an empty table gives no rows; other columns stay, one named as an output (in any case of letters) as
+<name>_in.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Words, alnum_word, chunks, clean_name, mix
+from .common import Scratch, Words, alnum_word, chunks, clean_name, make_room, mix, tidy
 
 BUCKETS, GRAMS, SMOOTHING, FEATURES = 1 << 18, (3, 4, 5), 1.0, 6000
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2500
@@ -85,35 +86,28 @@ def features(texts: pa.Array):
             yield np.unique(flat[a:b], return_counts=True)
 
 
-def fit(buckets: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights by bucket (ratio times coefficient) and intercept; prior: share of toxic rows among all labelled ones."""
-    # a row at a time, so that memory stays near that of the rows themselves
-    seen = np.zeros((2, BUCKETS), np.int64)
-    for found, label in zip(buckets, y.astype(int), strict=True):
-        seen[label, found] += 1  # a row holds a bucket once
+def choose_features(seen: np.ndarray, rows: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratio of every bucket, and the buckets with the strongest ones; seen[y, bucket]: rows of class y with the bucket."""
     df = seen.sum(0)
-    ratio = np.log((seen[1] + SMOOTHING) / (y == 1).sum()) - np.log((seen[0] + SMOOTHING) / (y == 0).sum())
+    ratio = np.log((seen[1] + SMOOTHING) / rows[1]) - np.log((seen[0] + SMOOTHING) / rows[0])
     strength = np.where(df >= 5, np.abs(ratio) * np.sqrt(df), 0)
-    chosen = np.argsort(-strength, kind="stable")[:FEATURES]
-    slot = np.full(BUCKETS, -1, np.int32)
-    slot[chosen] = np.arange(len(chosen), dtype=np.int32)
-    kept = [slot[found] >= 0 for found in buckets]
-    r = np.repeat(np.arange(len(y)), [int(k.sum()) for k in kept])
-    at = np.concatenate([found[k] for found, k in zip(buckets, kept, strict=True)])
-    c = slot[at]
-    x = np.log1p(np.concatenate([n[k] for n, k in zip(counts, kept, strict=True)]).astype(np.float64)) * ratio[at]
-    w, b, m, v = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    return ratio, np.argsort(-strength, kind="stable")[:FEATURES]
+
+
+def fit(r: np.ndarray, c: np.ndarray, n: np.ndarray, ratio: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights of the chosen features (coefficient times ratio) and intercept, from counts n of feature c in row r; prior: share of
+    toxic rows among all labelled ones."""
+    x = np.log1p(n) * ratio[c]
+    w, b, m, v = np.zeros(len(ratio)), 0.0, np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, 301):
         z = np.bincount(r, weights=x * w[c], minlength=len(y)) + b
         err = 1 / (1 + np.exp(-z)) - y
-        g = np.append(np.bincount(c, weights=x * err[r], minlength=len(chosen)) / len(y) + 1e-3 * w, err.mean())
+        g = np.append(np.bincount(c, weights=x * err[r], minlength=len(ratio)) / len(y) + 1e-3 * w, err.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     share = y.mean()
-    weights = np.zeros(BUCKETS)
-    weights[chosen] = w * ratio[chosen]
-    return weights, float(b + np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
+    return w * ratio, float(b + np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
@@ -126,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
         return None
     pick = lambda label, n: usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = pick(1, TOXIC_ROWS).unionByName(pick(0, CLEAN_ROWS))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
 
     def extract(batches):
         for batch in batches:
@@ -136,14 +130,38 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), *lists], ["doc_id", "toxic", "bucket", "n"])
 
-    got = rows.mapInArrow(extract, "doc_id long, toxic int, bucket array<int>, n array<int>").toArrow().sort_by("doc_id")
-    y = got["toxic"].to_numpy().astype(np.float64)
-    both = [[x.values.to_numpy() for x in got[c]] for c in ("bucket", "n")]
-    return fit(*both, y, shares[1] / (shares[0] + shares[1]))
+    scratch = Scratch()
+    got = scratch.cut(rows.mapInArrow(tidy(extract), "doc_id long, toxic int, bucket array<int>, n array<int>"), "features")
+    # a row a bucket and class comes to the driver, and then only the chosen features of the sample
+    counts = got.select("toxic", F.explode("bucket").alias("b")).groupBy("b", "toxic").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    seen = np.zeros((2, BUCKETS), np.int64)
+    seen[counts["toxic"].to_numpy(), counts["b"].to_numpy()] = counts["n"].to_numpy()
+    label = got.select("doc_id", "toxic").toArrow().sort_by("doc_id")
+    y = label["toxic"].to_numpy().astype(np.float64)
+    ratio, chosen = choose_features(seen, (int((y == 0).sum()), int((y == 1).sum())))
+    slot = np.full(BUCKETS, -1, np.int32)
+    slot[chosen] = np.arange(len(chosen), dtype=np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast(slot)
+
+    def slim(batches):
+        for batch in batches:
+            lists = batch.column("bucket")
+            c = shared.value[np.asarray(lists.flatten())]
+            keep = c >= 0
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))[keep]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(c[keep]), batch.column("n").flatten().filter(pa.array(keep))], ["doc_id", "c", "n"])
+
+    kept = got.mapInArrow(slim, "doc_id long, c int, n int").toArrow().sort_by([("doc_id", "ascending"), ("c", "ascending")])
+    scratch.clear()
+    r = np.searchsorted(label["doc_id"].to_numpy(), kept["doc_id"].to_numpy())
+    weights = np.zeros(BUCKETS)
+    weights[chosen], bias = fit(r, kept["c"].to_numpy(), kept["n"].to_numpy().astype(np.float64), ratio[chosen], y, shares[1] / (shares[0] + shares[1]))
+    return weights, bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, name: str = "score") -> DataFrame:
     """docs with a score from 0 to 1; the model is one array of BUCKETS numbers."""
+    docs = make_room(docs, name)
     own = docs.columns
     spark = docs.sparkSession
     text_at, out = clean_name(docs, "toxicity_text"), docs.withColumn(clean_name(docs, "toxicity_text"), F.col("text"))
@@ -168,14 +186,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, name: str = "
                 keys, times = np.unique(np.repeat(row, m) * np.int64(BUCKETS) + flat, return_counts=True)
                 z[i:j] = np.bincount(keys // BUCKETS, weights=weights[keys % BUCKETS] * np.log1p(times), minlength=j - i)
             s = 1 / (1 + np.exp(-np.clip(z + bias, -50, 50)))
-            kept = [batch.column(c) for c in own if c != name]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(s)], [*(c for c in own if c != name), name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(s)], [*own, name])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != name), f"`{name}` double"])
-    return out.mapInArrow(scored, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` double"])
+    return out.mapInArrow(tidy(scored), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with held_out, score and predicted."""
-    out = score(docs, train(docs, labels))
+    out = score(make_room(docs, "held_out", "predicted"), train(docs, labels))
     return out.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int")})
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score stays below the threshold, with the columns of docs alone."""
+    at = clean_name(docs, "toxicity")
+    return score(docs, train(docs, labels), at).where(F.col(at) < threshold).select(*docs.columns)
