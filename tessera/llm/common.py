@@ -67,6 +67,21 @@ def make_room(df: DataFrame, *added: str) -> DataFrame:
     return df
 
 
+def tidy(emit):
+    """A function of Arrow batches that gives memory back to the system when a task ends; Spark keeps its Python workers."""
+
+    def run(batches):
+        import ctypes
+
+        yield from emit(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 class Scratch:
     """Tables in the shared folder that are of no use once the result has been written or is itself a table."""
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import Scratch, Words, chunks, clean_name, cut, mix
+from .common import Scratch, Words, chunks, clean_name, cut, mix, tidy
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -47,7 +47,7 @@ HOT_KEPT, HOT_SHARE, HOT_ROWS = 1 << 15, 1 / 4000, 1 << 19
 #: Parity bits of a set: the least power of two that is no less than twice its size, and at least LEAST_BITS.
 FILTER_BITS, LEAST_BITS = 1 << 22, 512
 #: Parity bits that rows of candidate groups carry at most; documents that one key may gather in one part; sets that a task remembers.
-SKETCH_BITS, KEY_ROWS, REMEMBERED = 1024, 8192, 100_000
+SKETCH_BITS, KEY_ROWS, REMEMBERED = 1024, 1 << 16, 100_000
 _U = np.uint64
 
 
@@ -137,6 +137,23 @@ def digests(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix((total[ends] - total[ends - n]) ^ n.astype(_U))
 
 
+class _Seen:
+    """Sets that a task has met, as many as it remembers."""
+
+    def __init__(self):
+        self.known: set[int] = set()
+
+    def new(self, digest: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(digest), bool)
+        for k, d in enumerate(digest.tolist()):
+            if d not in self.known:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known.add(d)
+                out[k] = True
+        return out
+
+
 class _Counts:
     """A bounded summary of the most frequent shingles of a task."""
 
@@ -169,12 +186,14 @@ def survey(docs: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def emit(batches):
-        counts = _Counts()
+        counts, seen = _Counts(), _Seen()
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(1)):
                 row, h, rows = shingle_sets(data, offsets)
-                counts.add(h, rows)
                 n = np.bincount(row, minlength=rows)
+                digest = digests(row, h, n)
+                new = seen.new(digest)
+                counts.add(h[new[row]], int(new.sum()))
                 bits = np.full(rows, LEAST_BITS, np.int64)
                 while (low := bits < 2 * n).any():
                     bits[low] *= 2
@@ -184,7 +203,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 few = np.minimum(bits, SKETCH_BITS)
                 short = [np.bitwise_xor.reduce(odd[a // 64 : (a + k) // 64].reshape(-1, f // 64), 0) for a, k, f in zip(begin.tolist(), bits.tolist(), few.tolist(), strict=True)]
                 none = pa.nulls(rows, pa.list_(pa.int64()))
-                columns = [batch.column(0).slice(i, j - i), pa.array(n), pa.array(digests(row, h, n).view(np.int64)), _lists(odd, bits // 64), _lists(np.concatenate(short), few // 64), none, none]
+                columns = [batch.column(0).slice(i, j - i), pa.array(n), pa.array(digest.view(np.int64)), _lists(odd, bits // 64), _lists(np.concatenate(short), few // 64), none, none]
                 yield pa.RecordBatch.from_arrays(columns, names)
         hot, times = counts.frequent()
         if len(hot):
@@ -192,7 +211,7 @@ def survey(docs: DataFrame) -> DataFrame:
             none = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.list_(pa.int64()))] * 2
             yield pa.RecordBatch.from_arrays([*none, _lists(hot.view(np.int64), size), _lists(times, size)], names)
 
-    return docs.mapInArrow(emit, schema)
+    return docs.mapInArrow(tidy(emit), schema)
 
 
 def hot_shingles(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -205,31 +224,24 @@ def hot_shingles(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def key_rows(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
-    """(key, parts, part, doc_id, lead) of what documents index: a frequent key is dealt out in parts. Of equal sets a task indexes the first
+    """(key, part, doc_id, lead) of what documents index: a frequent key is dealt out in parts from 1, others have part 0. Of equal sets a task indexes the first
     it meets, as long as it remembers it."""
     shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(surveyed))
 
     def emit(batches):
-        hot, seen = shared.value, set()
+        hot, seen = shared.value, _Seen()
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, offsets in chunks(batch.column(1)):
                 row, h, rows = shingle_sets(data, offsets)
-                new = np.zeros(rows, bool)
-                for k, d in enumerate(digests(row, h, np.bincount(row, minlength=rows)).tolist()):
-                    if d not in seen:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen.add(d)
-                        new[k] = True
-                use = new[row]
+                use = seen.new(digests(row, h, np.bincount(row, minlength=rows)))[row]
                 at, key, lead, cost = index_keys(row[use], h[use], rows, hot)
                 own = ids.slice(i, j - i).take(pa.array(at))
-                parts = 1 + cost // KEY_ROWS
-                part = (mix(own.to_numpy(zero_copy_only=False).astype(np.int64).view(_U)) % parts.astype(_U)).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "parts": pa.array(parts.astype(np.int32)), "part": pa.array(part), "doc_id": own, "lead": pa.array(lead.astype(np.int32))})
+                parts = (cost // KEY_ROWS).astype(_U)
+                part = np.where(parts > 0, 1 + mix(np.asarray(own).astype(np.int64).view(_U)) % (parts + _U(1)), 0).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "part": pa.array(part), "doc_id": own, "lead": pa.array(lead.astype(np.int32))})
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(emit, "key long, parts int, part int, doc_id long, lead int")
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(tidy(emit), "key long, part int, doc_id long, lead int")
 
 
 def _members() -> dict[str, Column]:
@@ -242,14 +254,14 @@ def shared_groups(docs: DataFrame, surveyed: DataFrame, scratch: Scratch) -> Dat
     """group_id, first, doc_id, lead, n_keys: documents that share keys; keys of the same documents are one group, with each document's least lead."""
     group = Window.partitionBy("key", "part")
     known = F.xxhash64("last", "size", "low", "high").alias("group_id")
-    rows = key_rows(docs, surveyed).withColumn("least", F.min("lead").over(group)).where("parts > 1 OR lead + least <= 0")
-    rows = rows.withColumns({k: v.over(group) for k, v in _members().items()}).where("parts > 1 OR first < last")
-    rows = scratch.cut(rows.select("key", "parts", known, "first", "doc_id", "lead"), "keys")
-    wide = rows.where("parts > 1").select("key", "doc_id", "lead")
+    rows = key_rows(docs, surveyed).withColumn("least", F.min("lead").over(group)).where("part > 0 OR lead + least <= 0")
+    rows = rows.withColumns({k: v.over(group) for k, v in _members().items()}).where("part > 0 OR first < last")
+    rows = scratch.cut(rows.select("key", "part", known, "first", "doc_id", "lead"), "keys")
+    wide = rows.where("part > 0").select("key", "doc_id", "lead")
     wide = wide.join(wide.groupBy("key").agg(F.min("lead").alias("least")), "key").where("lead + least <= 0")
     sums = wide.groupBy("key").agg(*[v.alias(k) for k, v in _members().items()]).where("first < last")
     wide = wide.join(sums, "key").select(known, "first", "doc_id", "lead")
-    rows = rows.where("parts = 1").select("group_id", "first", "doc_id", "lead").unionByName(wide)
+    rows = rows.where("part = 0").select("group_id", "first", "doc_id", "lead").unionByName(wide)
     return rows.groupBy("group_id", "first", "doc_id").agg(F.min("lead").alias("lead"), F.count(F.lit(1)).alias("n_keys"))
 
 
@@ -276,11 +288,9 @@ def _differing(x: np.ndarray, y: np.ndarray) -> int:
 def could_link(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (a, b) that may be similar: by sizes, and as every shingle in one set alone flips one bit, by differing parity bits."""
 
-    @F.pandas_udf(BooleanType())
-    def near(x, y, most):
-        import pandas as pd
-
-        return pd.Series([_differing(p, q) <= k for p, q, k in zip(x, y, most, strict=True)], dtype=bool)
+    @F.arrow_udf(BooleanType())
+    def near(x: pa.Array, y: pa.Array, most: pa.Array) -> pa.Array:
+        return pa.array([_differing(p.values.to_numpy(), q.values.to_numpy()) <= k for p, q, k in zip(x, y, most.to_pylist(), strict=True)], pa.bool_())
 
     side = lambda k: known.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("parity").alias(f"{k}_p"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -304,12 +314,10 @@ def _possible(ids: DataFrame):
     bits[ids.select(slot("doc_id").alias("s")).distinct().toArrow()["s"].to_numpy()] = True
     shared = ids.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
-    @F.pandas_udf(BooleanType())
-    def test(s):
-        import pandas as pd
-
+    @F.arrow_udf(BooleanType())
+    def test(s: pa.Array) -> pa.Array:
         x = s.to_numpy()
-        return pd.Series((shared.value[x >> 3] >> (7 - (x & 7))) & 1 == 1)
+        return pa.array((shared.value[x >> 3] >> (7 - (x & 7))) & 1 == 1)
 
     return lambda c: test(slot(c))
 
@@ -345,7 +353,7 @@ def verify(pairs: DataFrame, texts: DataFrame, per_task: int = 256) -> DataFrame
                             break
             yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return dealt.mapInArrow(emit, "a long, b long")
+    return dealt.mapInArrow(tidy(emit), "a long, b long")
 
 
 def links(docs: DataFrame, surveyed: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bpe import default_tokenizer, encoder, with_end
-from .common import cut, mix, partitions
+from .common import cut, mix, partitions, tidy
 from .token_files import bits_for, pack, unpack
 
 SEQUENCE, DIMS, BITS = 1024, 4, 8
@@ -136,7 +136,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(n)), "at": pa.FixedSizeListArray.from_arrays(pa.array(coordinates(ids, n).ravel()), DIMS).cast(pa.list_(pa.float64())), "n_ids": pa.array(n), "bits": pa.array(np.full(len(n), bits, np.int32)), "ids": pa.array([pack(ids[b - c : b], bits) for b, c in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, at array<double>, n_ids long, bits int, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(rows), "doc_id long, at array<double>, n_ids long, bits int, ids binary")
 
 
 def sequences(total: int, length: int) -> np.ndarray:
@@ -193,4 +193,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
             yield emit(held, True, state)[0]
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
-    return ordered.select("doc_id", "bits", "n_ids", "ids").mapInArrow(pieces, schema)
+    return ordered.select("doc_id", "bits", "n_ids", "ids").mapInArrow(tidy(pieces), schema)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import default_tokenizer, encoder, with_end
-from .common import fresh_path, partitions
+from .common import fresh_path, partitions, tidy
 
 BLOCK_IDS = 1 << 17
 BLOCKS = "file_no int, block_no int, start_in_file long, n_ids long, first_doc long, last_doc long, bits int, doc_ids binary, doc_lens binary, payload binary"
@@ -86,7 +86,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
 
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(c, kinds[t]) for c, t in (x.split() for x in BLOCKS.split(", "))])
-    ordered.mapInArrow(blocks, BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(tidy(blocks), BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
 def file_starts(spark: SparkSession, path: str) -> dict[int, int]:
@@ -121,7 +121,7 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    out = blocks.select("file_no", "start_in_file", "bits", "doc_ids", "doc_lens", "payload").mapInArrow(documents, schema)
+    out = blocks.select("file_no", "start_in_file", "bits", "doc_ids", "doc_lens", "payload").mapInArrow(tidy(documents), schema)
     return out.where(F.col("doc_id").isin(doc_ids)) if doc_ids else out
 
 

@@ -103,6 +103,15 @@ def licences(text: str | None) -> tuple:
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
+def licence_labels(text: str | None) -> set[str]:
+    """Labels of templates whose mandatory phrase stands in the text, by a scan of all places; and those of the base."""
+    from tessera.llm.license_scan import TEMPLATES
+
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    stands = lambda p: any(w[i : i + len(p)] == p for i in range(len(w)))
+    return {label for label, _, must in TEMPLATES if stands(must.split())} | {label for phrase, label in LICENSES if stands(phrase.split())}
+
+
 def measured(text: str | None) -> tuple:
     text = text or ""
     w = words(text)
