@@ -16,8 +16,7 @@ from tessera.llm.common import cut, table
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
