@@ -6,8 +6,10 @@ ANCHOR = WINDOW - PERIOD + 1 words that start at cover places are hashed; those
 Only windows that contain a shared anchor can repeat, so extension hashes just these (96 bits), and a window's
 least doc_id decides which documents lose it. Words under lost windows go.
 
-Each document counts a hash once, so a repeated word is no hot key; a key has a row a document at most, and a document spreads
-over many keys. Exact copies of a document (same word sequence) are told by their digest and skip the extension.
+Each document counts a hash once, so a repeated word is no hot key. What documents of one Arrow batch share is settled there: of a
+hash that many of them hold, one row goes to the hash's other holders, and the rest are dealt out by document. So a header that
+stands in every file is a row a batch, not a row a file. Exact copies of a document (same word sequence) are told by their digest
+and skip the extension.
 
 Defined cases: null or blank texts have no words; a document of fewer than WINDOW words keeps all; a null doc_id neither
 loses words nor makes others lose them; rows of equal doc_id don't affect each other; ties can't arise, as only a
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Words, chunks, cut, mix
+from .common import Words, chunks, cut, mix, tidy
 
 #: A perfect difference set of 6 residues modulo 31.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -84,25 +86,48 @@ def _copied(w: Words, window: int, copies: pa.Array, first: int) -> np.ndarray:
     return out
 
 
+def _settle(doc: np.ndarray, *key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of (doc, key): whether a smaller doc holds its key here, and whether another one does."""
+    order = np.lexsort((doc, *key))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(order)))
+    ordered = doc[order]
+    least = np.repeat(ordered[first], sizes)
+    most = np.repeat(ordered[first + sizes - 1], sizes) if len(first) else least
+    later, several = np.empty(len(order), bool), np.empty(len(order), bool)
+    later[order], several[order] = ordered > least, most > least
+    return later, several
+
+
 def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, copies (digests of its rows whose words a smaller doc_id has too), anchors (hashes of its shared anchors); documents without either are left out."""
 
     def emit(batches):
         for batch in batches:
-            keys = batch.column(0)
+            ids, parts = batch.column(0).to_numpy(), []
             for i, j, data, offsets in chunks(batch.column(1)):
                 w = Words(data, offsets, False)
                 h, ok = _anchors(w, window)
                 row, h = _distinct(_rows_of(w)[ok], h[ok])
                 long, digest = _digests(w, window)
-                part = keys.slice(i, j - i)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.concat_arrays([part.take(pa.array(row)), part.take(pa.array(long))]), "hash": pa.array(np.concatenate([h, digest]).view(np.int64)), "n": pa.array(np.concatenate([np.zeros(len(h), np.int32), w.count[long].astype(np.int32)]))})
-
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, "doc_id long, hash long, n int")
-    same = Window.partitionBy("hash", "n")
-    found = rows.withColumns({"least": F.min("doc_id").over(same), "most": F.max("doc_id").over(same)}).where(F.col("least") < F.col("most"))
-    found = found.where((F.col("n") == 0) | (F.col("doc_id") > F.col("least")))
-    return found.groupBy("doc_id").agg(F.collect_set(F.when(F.col("n") > 0, F.col("hash"))).alias("copies"), F.collect_set(F.when(F.col("n") == 0, F.col("hash"))).alias("anchors"))
+                parts.append((ids[i:j][np.concatenate([row, long])], np.concatenate([h, digest]), np.concatenate([np.zeros(len(h), np.int64), w.count[long]])))
+            if not parts:
+                continue
+            doc, h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            later, several = _settle(doc, h, n)
+            # anchors that documents of the batch share are settled for all of these; the least of them stands for them elsewhere
+            told = np.where(n > 0, np.where(later, -2, n), np.where(several, -1, 0))
+            again = several & (n == 0) & ~later
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.append(doc, doc[again])), "hash": pa.array(np.append(h, h[again]).view(np.int64)), "n": pa.array(np.append(told, n[again]).astype(np.int32))})
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(emit), "doc_id long, hash long, n int")
+    same = Window.partitionBy("hash", "n", F.when(F.col("n") < 0, F.col("doc_id")))
+    found = rows.withColumns({"least": F.min("doc_id").over(same), "most": F.max("doc_id").over(same)})
+    found = found.where("n < 0 OR least < most AND (n = 0 OR doc_id > least)")
+    anchor = F.col("n").isin(0, -1)
+    return found.groupBy("doc_id").agg(F.collect_set(F.when(~anchor, F.col("hash"))).alias("copies"), F.collect_set(F.when(anchor, F.col("hash"))).alias("anchors"))
 
 
 def _in_lists(row: np.ndarray, h: np.ndarray, lists: pa.Array, first: int) -> np.ndarray:
@@ -125,6 +150,7 @@ def _candidate_windows(window: int):
     def emit(batches):
         for batch in batches:
             keys, texts, lists, copies = (batch.column(c) for c in range(4))
+            ids, parts = keys.to_numpy(), []
             for i, j, data, offsets in chunks(texts):
                 w = Words(data, offsets, False)
                 h, ok = _anchors(w, window)
@@ -136,7 +162,10 @@ def _candidate_windows(window: int):
                 full, ok = w.windows(window)
                 chosen = ok & ~_copied(w, window, copies, i)[row] & (seen[np.minimum(np.arange(n) + PERIOD, n)] > seen[:-1])
                 r, f, s = _distinct(row[chosen], full[chosen], _second(w, window)[chosen])
-                yield pa.RecordBatch.from_pydict({"doc_id": keys.slice(i, j - i).take(pa.array(r)), "hash": pa.array(f.view(np.int64)), "more": pa.array(s)})
+                parts.append((ids[i:j][r], f, s))
+            if parts:
+                doc, f, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc), "hash": pa.array(f.view(np.int64)), "more": pa.array(s), "lost": pa.array(_settle(doc, f, s)[0])})
 
     return emit
 
@@ -179,9 +208,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     # both joins deal the texts out by doc_id in the same way, so Spark reuses the one exchange
     # (the test is kept from turning the left join into another one, which would deal its own texts out)
     wanted = F.when(F.spark_partition_id() >= 0, F.coalesce(F.size("anchors") > 0, F.lit(False)))
-    windows = docs.join(info, "doc_id", "left").where(wanted).select("doc_id", "text", "anchors", "copies").mapInArrow(_candidate_windows(window), "doc_id long, hash long, more int")
-    least = F.min("doc_id").over(Window.partitionBy("hash", "more"))
-    lost = windows.withColumn("least", least).where(F.col("doc_id") > F.col("least")).groupBy("doc_id").agg(F.collect_set("hash").alias("windows"))
+    windows = docs.join(info, "doc_id", "left").where(wanted).select("doc_id", "text", "anchors", "copies").mapInArrow(tidy(_candidate_windows(window)), "doc_id long, hash long, more int, lost boolean")
+    least = F.min("doc_id").over(Window.partitionBy("hash", "more", F.when(F.col("lost"), F.col("doc_id"))))
+    lost = windows.withColumn("least", least).where("lost OR doc_id > least").groupBy("doc_id").agg(F.collect_set("hash").alias("windows"))
     marks = lost.join(info.where(F.size("copies") > 0).select("doc_id", "copies"), "doc_id", "full")
     body = _removed(window)
 
@@ -193,4 +222,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
             yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("copies", F.array().cast("array<bigint>")).alias("copies"), F.coalesce("windows", F.array().cast("array<bigint>")).alias("windows")).mapInArrow(emit, schema)
+    return docs.join(marks, "doc_id", "left").select("doc_id", "text", F.coalesce("copies", F.array().cast("array<bigint>")).alias("copies"), F.coalesce("windows", F.array().cast("array<bigint>")).alias("windows")).mapInArrow(tidy(emit), schema)
