@@ -5,7 +5,7 @@ A file set is a folder of Parquet files whose rows are blocks of whole documents
 id k takes bits k*bits to (k+1)*bits, least significant first. Readers unpack a block by numpy at once, or any
 range of ids in it. The sum of ids in the files before, one number a file, places every document in the whole.
 
-Defined cases: a null or empty text has its end id only; a null doc_id comes first; equal doc_ids stay in order of their
+Defined cases: a null or empty text has its end id only; a null doc_id comes first; equal doc_ids are in order of a hash of their
 texts; an empty table gives no rows; other columns are ignored.
 """
 
@@ -51,7 +51,7 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> None:
     """Write the documents' ids, each with end_id behind, in ascending order of doc_id."""
     n = partitions(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def blocks(batches):
         enc, file_no = encoder(tokenizer), TaskContext.get().partitionId()
@@ -100,29 +100,37 @@ def file_starts(spark: SparkSession, path: str) -> dict[int, int]:
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_ids: bool = False) -> DataFrame:
-    """Per document: doc_id, start, n_tokens, ids_crc32 and, if asked for, its ids. doc_ids reads only blocks that can hold them."""
+    """Per document: doc_id, start, n_tokens, ids_crc32 and, if asked for, its ids. With doc_ids, only blocks that can hold them are read, and of
+    these only the bytes of their ids are unpacked."""
     starts = file_starts(spark, path)
     blocks = spark.read.parquet(path)
-    if doc_ids:
-        lo, hi = min(doc_ids), max(doc_ids)
+    if doc_ids is not None:
+        lo, hi = min(doc_ids, default=0), max(doc_ids, default=-1)
         blocks = blocks.where((F.col("last_doc") >= lo) & (F.col("first_doc") <= hi))
+        doc_ids = np.unique(np.array(doc_ids, np.int64))
 
     def documents(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 keys, lens = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["doc_lens"], "<u4").astype(np.int64)
                 ends = np.cumsum(lens)
-                ids = unpack(row["payload"], row["bits"], 0, int(ends[-1])).astype("<u4")
-                crc = [zlib.crc32(ids[b - n : b]) for b, n in zip(ends.tolist(), lens.tolist(), strict=True)]
                 missing = keys == np.iinfo(np.int64).min
-                out = {"doc_id": pa.array(keys, mask=missing), "start": pa.array(starts[row["file_no"]] + row["start_in_file"] + ends - lens), "n_tokens": pa.array(lens), "ids_crc32": pa.array(crc, pa.int64())}
+                if doc_ids is None:
+                    ids = unpack(row["payload"], row["bits"], 0, int(ends[-1])).astype("<u4")
+                    begin = ends - lens
+                else:
+                    some = np.isin(keys, doc_ids) & ~missing
+                    keys, missing, lens, begin = keys[some], missing[some], lens[some], (ends - lens)[some]
+                    ids = np.concatenate([np.zeros(0, "<u4"), *[unpack(row["payload"], row["bits"], a, n).astype("<u4") for a, n in zip(begin.tolist(), lens.tolist(), strict=True)]])
+                    ends = np.cumsum(lens)
+                crc = [zlib.crc32(ids[b - n : b]) for b, n in zip(ends.tolist(), lens.tolist(), strict=True)]
+                out = {"doc_id": pa.array(keys, mask=missing), "start": pa.array(starts[row["file_no"]] + row["start_in_file"] + begin), "n_tokens": pa.array(lens), "ids_crc32": pa.array(crc, pa.int64())}
                 if with_ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    out = blocks.select("file_no", "start_in_file", "bits", "doc_ids", "doc_lens", "payload").mapInArrow(tidy(documents), schema)
-    return out.where(F.col("doc_id").isin(doc_ids)) if doc_ids else out
+    return blocks.select("file_no", "start_in_file", "bits", "doc_ids", "doc_lens", "payload").mapInArrow(tidy(documents), schema)
 
 
 def token_output(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, path: str | None = None) -> DataFrame:
