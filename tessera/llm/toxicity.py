@@ -148,14 +148,18 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
             lists = batch.column("bucket")
             c = shared.value[np.asarray(lists.flatten())]
             keep = c >= 0
-            row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))[keep]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(c[keep]), batch.column("n").flatten().filter(pa.array(keep))], ["doc_id", "c", "n"])
+            sizes = np.add.reduceat(np.append(keep, False), np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()) if batch.num_rows else np.zeros(0)
+            sizes = np.where(np.asarray(lists.value_lengths()) > 0, sizes, 0)
+            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            both = [pa.ListArray.from_arrays(at, x) for x in (pa.array(c[keep].astype(np.int16)), batch.column("n").flatten().filter(pa.array(keep)))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *both], ["doc_id", "c", "n"])
 
-    kept = got.mapInArrow(slim, "doc_id long, c int, n int").toArrow().sort_by([("doc_id", "ascending"), ("c", "ascending")])
+    kept = got.mapInArrow(slim, "doc_id long, c array<smallint>, n array<int>").toArrow().sort_by("doc_id").combine_chunks()
     scratch.clear()
-    r = np.searchsorted(label["doc_id"].to_numpy(), kept["doc_id"].to_numpy())
+    c, n = (kept[x].combine_chunks() for x in ("c", "n"))
+    r = np.repeat(np.arange(len(y)), np.asarray(c.value_lengths()))
     weights = np.zeros(BUCKETS)
-    weights[chosen], bias = fit(r, kept["c"].to_numpy(), kept["n"].to_numpy().astype(np.float64), ratio[chosen], y, shares[1] / (shares[0] + shares[1]))
+    weights[chosen], bias = fit(r, np.asarray(c.flatten()).astype(np.int64), np.asarray(n.flatten()).astype(np.float64), ratio[chosen], y, shares[1] / (shares[0] + shares[1]))
     return weights, bias
 
 

@@ -112,6 +112,19 @@ def test_spans_of_the_method(spark):
     assert all(any(x.startswith(f"{r.doc_id}:") for x in r.spans.split(",")) if r.doc_id else r.spans == "" for r in found), found
 
 
+def test_a_header_in_every_document_is_settled_in_batches(spark):
+    rng = np.random.default_rng(10)
+    header = " ".join(f"h{i}" for i in range(70))
+    rows = [(int(k), (header + " " if i % 4 else "") + " ".join(f"x{k}" for k in rng.integers(0, 60, 90))) for i, k in enumerate(rng.permutation(60))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(d).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == fx.repeats(rows)
+
+
 def test_prefix_sums_over_many_spans(spark):
     t = "é " + "1.1.1.1 " * 300
     d = spark.createDataFrame([(1, t)], "doc_id long, text string")
@@ -277,8 +290,9 @@ def test_token_files(spark, docs, empty, tmp_path):
         assert (r.start, r.n_tokens, list(r.ids)) == (at, len(want), want)
         assert r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
         at += len(want)
-    some = token_files.read_tokens(spark, path, doc_ids=[3, 5]).collect()
-    assert sorted(r.doc_id for r in some) == [3, 5]
+    some = {r.doc_id: r for r in token_files.read_tokens(spark, path, doc_ids=[3, 5], with_ids=True).collect()}
+    assert sorted(some) == [3, 5] and all(r == some[r.doc_id] for r in got if r.doc_id in some)
+    assert token_files.read_tokens(spark, path, doc_ids=[]).count() == 0
     assert token_files.token_output(empty).count() == 0
 
 
