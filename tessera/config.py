@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+#: The limits, weights and sizes that results depend on.
 @dataclass(frozen=True)
 class Config:
     working_max_items: int = 12
@@ -33,10 +34,6 @@ class Config:
     upfront_knowledge_k: int = 2
     bm25_k1: float = 1.4
     bm25_b: float = 0.75
-    llm: str = "offline"
-    llm_rerank: bool = True
-    max_output_tokens: int = 600
-    apply_prior: bool = False
 
 
 DEFAULT = Config()

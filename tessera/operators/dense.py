@@ -1,63 +1,120 @@
-"""Exact dense search (R1, J4, J8): query vectors in blocks of bounded size against all vectors, by matrix products.
+"""Exact dense search (R1, J4, J8) by matrix products of a block of queries and a block of vectors.
 
-Every partition returns its own best k for each query; one ranked window by query takes the best of these.
+Up to QUERY_BLOCK queries are one block that goes to all executors, and every task keeps its own k best, whatever the number of its
+batches. More queries are dealt into blocks by hash, vectors into blocks too, and each pair of blocks is a cell of one task; neither
+side passes through the driver. A ranked window by query takes the best of what tasks or cells return.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-QUERY_BLOCK = 4096
-
-
-def _blocks(queries: DataFrame, qid: str, vec: str):
-    rows = queries.where(F.col(vec).isNotNull()).select(qid, vec).toLocalIterator()
-    while block := list(itertools.islice(rows, QUERY_BLOCK)):
-        yield [r[0] for r in block], np.array([r[1] for r in block], np.float64)
-
-
-def _matrix(column, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
-
-
-def _scan(vectors: DataFrame, queries: DataFrame, key: str, vec: str, qid: str, qvec: str, choose) -> DataFrame:
-    """Rows (qid, key, dense) that choose(scores of one query block over one batch) marks."""
-    spark = vectors.sparkSession
-    kinds = vectors.schema[key].dataType.simpleString(), queries.schema[qid].dataType.simpleString()
-    schema = f"qid {kinds[1]}, key {kinds[0]}, dense double"
-    out = None
-    for ids, q in _blocks(queries, qid, qvec):
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            arr = pa.array(ids)
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 1 << 16
+
+
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+
+def _groups(by, n: int) -> list[np.ndarray]:
+    """Rows of each value of by."""
+    if by is None:
+        return [np.arange(n)]
+    codes = by.dictionary_encode().indices.to_numpy(zero_copy_only=False) if by.null_count == 0 else np.array([hash(str(x)) for x in by.to_pylist()])
+    return [np.flatnonzero(codes == c) for c in np.unique(codes)]
+
+
+def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best scores of each row; ties by key."""
+    by_key = np.argsort(keys, kind="stable")
+    order = by_key[np.argsort(-scores[:, by_key], axis=1, kind="stable")[:, :k]]
+    return np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
+
+
+def _meet(vectors: DataFrame, queries: DataFrame, key: str, vec: str, qid: str, qvec: str, by: str | None, choose, k: int | None = None) -> DataFrame:
+    """Rows (qid, key, by, dense) that choose(scores, keys, qids) marks; with k, the k best of a query and value of by in each task or cell."""
+    kind = lambda d, c: d.schema[c].dataType.simpleString()
+    own = [F.col(key).alias("key"), F.col(vec).alias("v"), (F.col(by) if by else F.lit(None).cast("string")).alias("by")]
+    v = vectors.where(F.col(vec).isNotNull()).select(*own)
+    q = queries.where(F.col(qvec).isNotNull()).select(F.col(qid).alias("qid"), F.col(qvec).alias("q"))
+    schema = f"qid {kind(queries, qid)}, key {kind(vectors, key)}, by {kind(vectors, by) if by else 'string'}, dense double"
+
+    def hits(ids: pa.Array, wanted: np.ndarray, table: pa.Table) -> pa.Table:
+        keys, groups = table["key"].combine_chunks(), table["by"].combine_chunks()
+        scores = np.round(wanted @ _matrix(table["v"]).T, 6)
+        own = keys.to_numpy(zero_copy_only=False)
+        rows, cols = [], []
+        for some in _groups(groups if by else None, len(own)):
+            r, c = choose(scores[:, some], own[some], ids)
+            rows.append(r)
+            cols.append(some[c])
+        r, c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols))
+        return pa.table({"qid": ids.take(pa.array(r)), "key": keys.take(pa.array(c)), "by": groups.take(pa.array(c)), "dense": pa.array(scores[r, c])})
+
+    def fewer(held: list[pa.Table]) -> pa.Table:
+        """The k best of a task's hits so far."""
+        t = pa.concat_tables(held).sort_by([("qid", "ascending"), ("by", "ascending"), ("dense", "descending"), ("key", "ascending")])
+        same = np.ones(len(t), bool)
+        for c in ("qid", "by"):
+            codes = t[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            same[1:] &= codes[1:] == codes[:-1]
+        if len(t):
+            same[0] = False
+        start = np.flatnonzero(~same)
+        place = np.arange(len(t)) - np.repeat(start, np.diff(np.append(start, len(t))))
+        return t.filter(pa.array(place < k))
+
+    n = q.count()
+    if n <= QUERY_BLOCK:
+        rows = q.toArrow()  # at most a block
+        shared = vectors.sparkSession.sparkContext.broadcast((rows["qid"].combine_chunks(), _matrix(rows["q"]) if n else None))
+
+        def scan(batches):
+            ids, wanted = shared.value
+            held, size = [], 0
             for batch in batches:
-                if batch.num_rows:
-                    scores = np.round(q @ _matrix(batch.column(1), q.shape[1]).T, 6)
-                    r, c = choose(scores, batch.column(0).to_numpy(zero_copy_only=False), ids)
-                    yield pa.RecordBatch.from_arrays([arr.take(pa.array(r)), batch.column(0).take(pa.array(c)), pa.array(scores[r, c])], ["qid", "key", "dense"])
-
-        part = vectors.where(F.col(vec).isNotNull()).select(key, vec).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "key", vec: str = "embedding", qid: str = "qid", qvec: str = "embedding") -> DataFrame:
-    """qid, key, dense (rounded to 6 digits), dense_rank (from 0); ties by key."""
-
-    def best(scores, keys, ids):
-        by_key = np.argsort(keys, kind="stable")
-        order = by_key[np.argsort(-scores[:, by_key], axis=1, kind="stable")[:, :k]]
-        return np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
-
-    found = _scan(vectors, queries, key, vec, qid, qvec, best)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("dense"), "key"))
-    return found.withColumn("dense_rank", rank - 1).where(F.col("dense_rank") < k)
+                if not batch.num_rows or wanted is None:
+                    continue
+                found = hits(ids, wanted, pa.Table.from_batches([batch]))
+                if k is None:
+                    yield from found.to_batches()
+                    continue
+                held.append(found)
+                size += len(found)
+                if size > 4 * k * len(ids):
+                    held = [fewer(held)]
+                    size = len(held[0])
+            if held:
+                yield from fewer(held).to_batches()
+
+        return v.mapInArrow(scan, schema)
+    blocks, parts = -(-n // QUERY_BLOCK), max(1, -(-v.count() // VECTOR_BLOCK))
+    number = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = q.select(number("qid", blocks).alias("block"), every(parts).alias("part"), "qid", "q")
+    right = v.select(number("key", parts).alias("part"), every(blocks).alias("block"), "key", "v", "by")
+
+    def cell(wanted: pa.Table, table: pa.Table) -> pa.Table:
+        if not len(wanted) or not len(table):
+            return hits(pa.array([], wanted["qid"].type), np.zeros((0, 1)), table.slice(0, 0)) if len(wanted) else pa.table({f.name: pa.array([], f.type) for f in empty})
+        return hits(wanted["qid"].combine_chunks(), _matrix(wanted["q"]), table)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    empty = to_arrow_schema(vectors.sparkSession.createDataFrame([], schema).schema)
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(cell, schema)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "key", vec: str = "embedding", qid: str = "qid", qvec: str = "embedding", by: str | None = None) -> DataFrame:
+    """qid, key, dense (rounded to 6 digits), dense_rank (from 0), and by if asked for: the k best of each query, or of each query and value
+    of by; ties by key."""
+    found = _meet(vectors, queries, key, vec, qid, qvec, by, lambda s, keys, ids: _best(s, keys, k), k)
+    rank = F.row_number().over(Window.partitionBy("qid", "by").orderBy(F.desc("dense"), "key"))
+    ranked = found.withColumn("dense_rank", rank - 1).where(F.col("dense_rank") < k)
+    return ranked.select("qid", "key", *([F.col("by").alias(by)] if by else []), "dense", "dense_rank")
 
 
 def pairs_above(vectors: DataFrame, threshold: float, key: str, vec: str) -> DataFrame:
@@ -65,8 +122,8 @@ def pairs_above(vectors: DataFrame, threshold: float, key: str, vec: str) -> Dat
 
     def above(scores, keys, ids):
         r, c = np.nonzero(scores >= threshold)
-        keep = np.asarray(ids)[r] < keys[c]
+        keep = ids.to_numpy(zero_copy_only=False)[r] < keys[c]
         return r[keep], c[keep]
 
-    found = _scan(vectors, vectors, key, vec, key, vec, above)
+    found = _meet(vectors, vectors, key, vec, key, vec, None, above)
     return found.select(F.col("qid").alias("a"), F.col("key").alias("b"), F.col("dense").alias("cosine"))

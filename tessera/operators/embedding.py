@@ -7,8 +7,6 @@ A text without content gets the zero vector.
 from __future__ import annotations
 
 import hashlib
-import math
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +21,6 @@ WEIGHTS = {"word": 1.0, "prefix": 0.6, "synonym": 0.35, "synonym_prefix": 0.25,
 GRAMS = (3, 4, 5)
 
 
-@lru_cache(200_000)
 def word_features(word: str, grams: tuple[int, ...] = GRAMS) -> tuple[tuple[str, float], ...]:
     """Features of one word with their weights."""
     w = WEIGHTS
@@ -35,41 +32,95 @@ def word_features(word: str, grams: tuple[int, ...] = GRAMS) -> tuple[tuple[str,
     return tuple(out)
 
 
-@lru_cache(200_000)
-def bucket(feature: str, dim: int) -> tuple[int, float]:
-    digest = hashlib.blake2b(feature.encode(), digest_size=8).digest()
-    return int.from_bytes(digest[:4], "little") % dim, 1.0 if digest[4] & 1 else -1.0
+def _blake2b(feature: str) -> int:
+    return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
+
+
+def _md5(feature: str) -> int:
+    return int.from_bytes(hashlib.md5(feature.encode()).digest()[:8], "big")
+
+
+#: Eight bytes of a feature's digest, and where bucket and sign stand in them. Features are told apart by these bytes.
+HASHES = {"blake2b": (_blake2b, 0, 32), "md5": (_md5, 32, 28)}
+#: Words of texts that are worked on at once, to bound numpy's temporaries; texts too, as each has a row of the result.
+PIECE_WORDS, PIECE_TEXTS = 1 << 15, 512
+
+
+@lru_cache(50_000)
+def _hashed_word(word: str, grams: tuple[int, ...], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    found = word_features(word, grams)
+    return np.array([HASHES[kind][0](f) for f, _ in found], np.uint64), np.array([w for _, w in found])
+
+
+def _piece(words: pa.Array, doc: np.ndarray, n: int, dim: int, grams: tuple[int, ...], kind: str) -> np.ndarray:
+    """Sums by bucket of n texts; words: their words one after another, doc: the text of each."""
+    if not len(words):
+        return np.zeros((n, dim))
+    coded = words.dictionary_encode()
+    vocab, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    hashed = [_hashed_word(w, grams, kind) for w in vocab]
+    sizes = np.array([len(h) for h, _ in hashed])
+    weights = np.concatenate([w for _, w in hashed])
+    beside = np.flatnonzero(doc[1:] == doc[:-1])
+    pairs, which = np.unique(code[beside] * len(vocab) + code[beside + 1], return_inverse=True)
+    pair_hashes = np.array([HASHES[kind][0](f"b:{vocab[p // len(vocab)]}_{vocab[p % len(vocab)]}") for p in pairs.tolist()], np.uint64)
+    features, at = np.unique(np.concatenate([*(h for h, _ in hashed), pair_hashes]), return_inverse=True)
+    # each distinct word of a text brings its features, times its count
+    own, times = np.unique(doc * len(vocab) + code, return_counts=True)
+    d, w = own // len(vocab), own % len(vocab)
+    m = sizes[w]
+    flat = np.repeat((np.cumsum(sizes) - sizes)[w] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
+    keys = np.concatenate([np.repeat(d, m) * len(features) + at[flat], doc[beside] * len(features) + at[len(weights) :][which]])
+    values = np.concatenate([weights[flat] * np.repeat(times, m), np.full(len(beside), WEIGHTS["bigram"])])
+    keys, slot = np.unique(keys, return_inverse=True)
+    x = np.round(np.bincount(slot, weights=values), 6)
+    f = features[keys % len(features)]
+    _, bucket, sign = HASHES[kind]
+    y = np.where(x >= 1, 1 + np.log(np.maximum(x, 1)), x) * np.where((f >> np.uint64(sign)) & np.uint64(1), 1.0, -1.0)
+    place = ((f >> np.uint64(bucket)) & np.uint64(0xFFFFFFFF)) % np.uint64(dim)
+    return np.bincount(keys // len(features) * dim + place.astype(np.int64), weights=y, minlength=n * dim).reshape(n, dim)
+
+
+def embed_lists(lists: pa.Array, dim: int, grams: tuple[int, ...] = GRAMS, kind: str = "blake2b") -> np.ndarray:
+    """Unit vectors, one row each, of texts given as lists of their content words in order; zero for texts without any."""
+    lists = lists.cast(pa.list_(pa.string()))
+    sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    words, ends, out, i = lists.flatten(), np.cumsum(sizes), [], 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - sizes[i] + PIECE_WORDS, "right")))
+        j = min(j, len(sizes), i + PIECE_TEXTS)
+        first = ends[i] - sizes[i]
+        out.append(_piece(words.slice(first, ends[j - 1] - first), np.repeat(np.arange(j - i), sizes[i:j]), j - i, dim, grams, kind))
+        i = j
+    rows = np.concatenate(out) if out else np.zeros((0, dim))
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
 
 
 def embed_words(words: list[str], dim: int) -> np.ndarray:
-    """Unit vector (float32) of a text's content words in order."""
-    weight: dict[str, float] = {}
-    for w in words:
-        for f, x in word_features(w):
-            weight[f] = weight.get(f, 0.0) + x
-    for pair in zip(words, words[1:], strict=False):
-        f = "b:" + "_".join(pair)
-        weight[f] = weight.get(f, 0.0) + WEIGHTS["bigram"]
-    out = np.zeros(dim, np.float32)
-    for f, x in weight.items():
-        at, sign = bucket(f, dim)
-        out[at] += sign * (1.0 + math.log(x) if x >= 1 else x)
-    size = np.linalg.norm(out)
-    return out / size if size else out
+    """Unit vector (float32) of one text's content words in order."""
+    return embed_lists(pa.array([words], pa.list_(pa.string())), dim)[0].astype(np.float32)
 
 
-def hash_embed(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 1024) -> DataFrame:
-    """key, embedding array<float>; tokens are made in the JVM, features in Arrow batches."""
+def _embed_in_batches(words: DataFrame, dim: int, grams: tuple[int, ...], kind: str, type_: pa.DataType) -> DataFrame:
+    """key, embedding of words (key, ws)."""
 
     def run(batches):
         for batch in batches:
-            rows = [embed_words(ws or [], dim) for ws in batch.column(1).to_pylist()]
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.float32)
-            offsets = pa.array(np.arange(len(rows) + 1) * dim, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32()))], ["key", "embedding"])
+            for i in range(0, batch.num_rows, PIECE_TEXTS):
+                part = batch.slice(i, PIECE_TEXTS)
+                flat = embed_lists(part.column(1), dim, grams, kind).ravel()
+                offsets = pa.array(np.arange(part.num_rows + 1) * dim, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, type_))], ["key", "embedding"])
+
+    key = words.schema["key"].dataType.simpleString()
+    return words.mapInArrow(run, f"key {key}, embedding array<{type_}>")
+
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), T.content_tokens(F.col(text)).alias("ws")).mapInArrow(run, f"key {kind}, embedding array<float>")
+def hash_embed(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 1024) -> DataFrame:
+    """key, embedding array<float>; tokens are made in the JVM, features in Arrow batches."""
+    words = docs.select(F.col(key).alias("key"), T.content_tokens(F.col(text)).alias("ws"))
+    return _embed_in_batches(words, dim, GRAMS, "blake2b", pa.float32())
 
 
 def md5_features(docs: DataFrame, key: str, text: str, grams: tuple[int, ...] = ()) -> DataFrame:
@@ -106,41 +157,10 @@ def md5_buckets(features: DataFrame, dim: int) -> DataFrame:
     return sums.select("key", "bucket", F.when(size > 0, F.col("v") / size).otherwise(F.lit(0.0)).alias("v"))
 
 
-@lru_cache(500_000)
-def md5_bucket(feature: str) -> tuple[int, float]:
-    digest = hashlib.md5(feature.encode()).hexdigest()
-    return int(digest[:8], 16), 1.0 if int(digest[8], 16) % 2 else -1.0
-
-
-def md5_vector(words: list[str], dim: int, grams: tuple[int, ...]) -> np.ndarray:
-    """The vector of md5_features() and md5_buckets() for one text."""
-    weight: Counter = Counter()
-    for word, times in Counter(words).items():
-        for f, w in word_features(word, grams):
-            weight[f] += w * times
-    for (a, b), times in Counter(zip(words, words[1:], strict=False)).items():
-        weight[f"b:{a}_{b}"] += WEIGHTS["bigram"] * times
-    out = np.zeros(dim)
-    for f, x in weight.items():
-        at, sign = md5_bucket(f)
-        x = round(x, 6)
-        out[at % dim] += sign * (1 + math.log(x) if x >= 1 else x)
-    size = math.sqrt(float(out @ out))
-    return out / size if size else out
-
-
 def md5_embed(docs: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 64, grams: tuple[int, ...] = ()) -> DataFrame:
-    """key, embedding array<double> of dim buckets; texts without content are left out. In Arrow batches, with no shuffle."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [md5_vector(ws, dim, grams) for ws in batch.column(1).to_pylist()]
-            flat = np.concatenate(rows) if rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), pa.array(flat))], ["key", "embedding"])
-
-    kind = docs.schema[key].dataType.simpleString()
+    """key, embedding array<double> of dim buckets, as md5_features() and md5_buckets() give them; texts without content are left out."""
     words = docs.select(F.col(key).alias("key"), T.content_tokens(F.col(text)).alias("ws")).where(F.size("ws") > 0)
-    return words.mapInArrow(run, f"key {kind}, embedding array<double>")
+    return _embed_in_batches(words, dim, grams, "md5", pa.float64())
 
 
 class Embedder:

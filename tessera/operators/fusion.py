@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import DEFAULT
 from ..functions import text as T
+from ..shared import keep
 from . import dense as D, embedding as E, sparse as S
 
 
-def pool(docs: DataFrame, queries: DataFrame, qid: str, question: str, key: str = "doc_id", text: str = "text", embed=None, config=DEFAULT) -> DataFrame:
+def pool(docs: DataFrame, queries: DataFrame, qid: str, question: str, key: str = "doc_id", text: str = "text", embed=None, config=DEFAULT, indexed: DataFrame | None = None) -> DataFrame:
     """qid, key, dense, dense_rank, sparse, sparse_rank, fused; keys that only BM25 found get their true cosine. The embedder is
-    that of config unless one is given."""
+    that of config unless one is given; indexed: the postings of docs, made here if not given."""
     embed = embed or E.Embedder(config.embedder, config.embed_dim).embed
-    asked = embed(queries, qid, question).withColumnRenamed("key", "qid").cache()
-    near = D.top_k(embed(docs, key, text), asked, config.dense_k).cache()
-    lexical = S.search(docs, queries, qid, question, config.sparse_k, key, text, config).cache()
+    asked = keep(embed(queries, qid, question).withColumnRenamed("key", "qid"), "asked")
+    near = keep(D.top_k(embed(docs, key, text), asked, config.dense_k), "near")
+    indexed = indexed if indexed is not None else keep(S.index(docs, key, text), "postings")
+    lexical = keep(S.search(indexed, queries, qid, question, config.sparse_k, config), "lexical")
     both = near.join(lexical, ["qid", "key"], "full")
     # keys that only BM25 found need their vectors: a few documents a question are embedded for it
     alone = lexical.join(near, ["qid", "key"], "left_anti").select("qid", "key")

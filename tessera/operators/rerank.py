@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, RERANK_WEIGHTS
 from ..functions import text as T
 from . import sparse as S
 
 
-def query_profile(docs: DataFrame, queries: DataFrame, qid: str, question: str, text: str = "text") -> DataFrame:
-    """qid and its content terms (repeats stay) with idf and expansions."""
+def query_profile(indexed: DataFrame, queries: DataFrame, qid: str, question: str) -> DataFrame:
+    """qid and its content terms (repeats stay) with idf, from the postings of a collection, and expansions."""
     q = queries.select(F.col(qid).alias("qid"), F.posexplode(T.content_tokens(F.col(question))).alias("pos", "term")).withColumn("stem", T.stem(F.col("term")))
-    df = S.postings(docs, docs.columns[0], text).withColumnRenamed("term", "stem").join(q.select("stem").distinct(), "stem", "left_semi").groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))  # one row
+    df = S.postings(indexed).withColumnRenamed("term", "stem").join(q.select("stem").distinct(), "stem", "left_semi").groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
+    stats = F.broadcast(S.stats(indexed).select("n"))  # one row
     with_idf = q.join(df, "stem", "left").crossJoin(stats).select("qid", "pos", "term", S.idf(F.col("n"), F.coalesce("df", F.lit(0))).alias("idf"))
     return with_idf.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("pos", "idf", T.expand_term(F.col("term")).alias("words")))).alias("terms"))
 
@@ -49,16 +49,16 @@ def score(cands: DataFrame, profile: DataFrame, passages: DataFrame, use_sparse:
     return out.drop("own", "head", "terms", "cover")
 
 
-def blend(scored: DataFrame, llm: DataFrame | None = None, prior: str | None = None, top_n: int = DEFAULT.rerank_top_n) -> DataFrame:
-    """Model scores (qid, key, llm) for the first top_n by fusion; a prior from 0 to 1 scales the result."""
+def blend(scored: DataFrame, llm: DataFrame | None = None, prior: Column | None = None, top_n: int = DEFAULT.rerank_top_n) -> DataFrame:
+    """Model scores (key, llm, and qid if they depend on it) for the first top_n by fusion; a prior from 0 to 1 scales the result."""
     out = scored
     if llm is not None:
-        out = out.join(llm, ["qid", "key"], "left")
+        out = out.join(llm, [c for c in ("qid", "key") if c in llm.columns], "left")
         use = F.col("llm").isNotNull() & (F.col("fused_rank") < top_n)
         out = out.withColumn("rerank", F.round(F.when(use, 0.7 * F.col("llm") + 0.3 * F.col("cross")).otherwise(F.col("cross")), 8))
     else:
         out = out.withColumn("rerank", F.col("cross"))
-    if prior:
+    if prior is not None:
         out = out.withColumn("rerank", F.round(F.col("rerank") * (0.75 + 0.25 * F.coalesce(F.col(prior), F.lit(1.0))), 8))
     return out
 

@@ -1,22 +1,53 @@
-"""BM25 over an inverted index (R2-R5, A1-A3). Query terms meet postings by an equi-join on the term."""
+"""BM25 over an inverted index (R2-R5, A1-A3, S13). Query terms meet postings by an equi-join on the term.
+
+index() is the postings table of a collection; kept as Parquet it serves searches, document frequencies, statistics and
+re-ranking alike, and with_added() and without() keep it up when documents come and go.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT
 from ..functions import text as T
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, tf, len; documents without terms have none."""
+def term_counts(terms: Column) -> Column:
+    """Array of (term, tf) of an array of terms: runs of the sorted array."""
+
+    def runs(a):
+        starts = F.filter(F.transform(a, lambda x, i: F.when((i == 0) | (F.get(a, i - 1) != x), F.struct(x.alias("term"), i.alias("at")))), lambda s: s.isNotNull())
+        return T.let(starts, lambda s: F.transform(s, lambda p, j: F.struct(p["term"].alias("term"), (F.coalesce(F.get(s, j + 1)["at"], F.size(a)) - p["at"]).cast("long").alias("tf"))))
+
+    return T.let(F.array_sort(terms), runs)
+
+
+def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, len, term, tf: a document's postings, and a row with no term for the document itself. Nothing is shuffled."""
     terms = docs.select(F.col(key).alias("key"), T.bm25_terms(F.col(text)).alias("ts"))
-    return terms.select("key", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("key", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
+    rows = terms.select("key", F.coalesce(F.size("ts"), F.lit(0)).alias("len"), F.explode(F.concat(itself, F.coalesce(term_counts(F.col("ts")), F.array().cast("array<struct<term:string,tf:bigint>>")))).alias("p"))
+    return rows.select("key", "len", "p.term", "p.tf")
+
 
+def postings(indexed: DataFrame) -> DataFrame:
+    """key, len, term, tf; documents without terms have none."""
+    return indexed.where(F.col("term").isNotNull())
 
-def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+
+def stats(indexed: DataFrame) -> DataFrame:
     """One row: n documents and avgdl."""
-    return docs.select(F.size(T.bm25_terms(F.col(text))).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    return indexed.where(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+
+
+def without(indexed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The index with no postings of these keys (key)."""
+    return indexed.join(keys.select("key"), "key", "left_anti")
+
+
+def with_added(indexed: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index with documents added, or replaced where their keys are in it; only their texts are tokenised."""
+    return without(indexed, docs.select(F.col(key).alias("key"))).unionByName(index(docs, key, text))
 
 
 def idf(n, df):
@@ -29,14 +60,14 @@ def query_terms(queries: DataFrame, qid: str, text: str) -> DataFrame:
     return q.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def search(docs: DataFrame, queries: DataFrame, qid: str, question: str, k: int, key: str = "doc_id", text: str = "text", config=DEFAULT) -> DataFrame:
-    """qid, key, sparse, sparse_rank (from 0): the k best by BM25; ties by key."""
+def search(indexed: DataFrame, queries: DataFrame, qid: str, question: str, k: int, config=DEFAULT) -> DataFrame:
+    """qid, key, sparse, sparse_rank (from 0): the k best by BM25 over an index; ties by key."""
     terms = query_terms(queries, qid, question)
     # only postings of terms that are asked for are counted and joined
-    asked = postings(docs, key, text).join(terms.select("term").distinct(), "term", "left_semi").cache()
+    asked = postings(indexed).join(terms.select("term").distinct(), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(corpus_stats(docs, text))  # one row
-    weights = terms.join(df, "term").crossJoin(stats).select("qid", "term", "times", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
+    weights = terms.join(df, "term").crossJoin(F.broadcast(stats(indexed)))  # one row
+    weights = weights.select("qid", "term", "times", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     k1, b = config.bm25_k1, config.bm25_b
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scored = asked.join(weights, "term").groupBy("qid", "key").agg(F.round(F.sum(part), 6).alias("sparse")).where("sparse > 0")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..config import DEFAULT
 from ..functions import text as T
 from ..operators import dense as D, embedding as E, fusion, optimize as O, rerank, sparse as S
+from ..shared import keep
 from . import retriever
 from .registry import n_tokens, norm, query, table, toks
 from .text_queries import _PAIRS, _SYN, content, shared_term_pairs
@@ -78,31 +79,31 @@ def _docs(spark, sf_dir):
 
 @query("term_frequency", f"WITH {POSTINGS} SELECT term, sum(tf)::BIGINT AS total, max(tf) AS most FROM post GROUP BY term")
 def term_frequency(spark, sf_dir):
-    p = S.postings(table(spark, sf_dir, "documents"))
+    p = S.postings(S.index(table(spark, sf_dir, "documents")))
     return p.groupBy("term").agg(F.sum("tf").alias("total"), F.max("tf").alias("most"))
 
 
 @query("doc_frequency", f"WITH {POSTINGS} SELECT term, df FROM df")
 def doc_frequency(spark, sf_dir):
-    return S.postings(table(spark, sf_dir, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return S.postings(S.index(table(spark, sf_dir, "documents"))).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query("doc_length_stats", f"WITH {POSTINGS} SELECT n, round(avgdl, 6) AS avgdl FROM st")
 def doc_length_stats(spark, sf_dir):
-    return S.corpus_stats(table(spark, sf_dir, "documents")).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return S.stats(S.index(table(spark, sf_dir, "documents"))).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("idf_table", f"WITH {POSTINGS} SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st")
 def idf_table(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    df = S.postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(S.corpus_stats(docs))).select("term", F.round(S.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    indexed = keep(S.index(table(spark, sf_dir, "documents")), "postings")
+    df = S.postings(indexed).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(S.stats(indexed))).select("term", F.round(S.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT qid, key, sparse, sparse_rank::INT AS sparse_rank FROM br WHERE sparse_rank < 5")
 def bm25_topk(spark, sf_dir):
     docs, q = _docs(spark, sf_dir)
-    return S.search(docs, q, "item_id", "text", 5)
+    return S.search(keep(S.index(docs), "postings"), q, "item_id", "text", 5)
 
 
 @query("md5_embed_docs", f"WITH {embed_sql('dv', 'documents', 'doc_id', 128, E.GRAMS)} SELECT key, bucket::BIGINT AS bucket, round(v, 6) + 0 AS v FROM dv")
@@ -131,12 +132,7 @@ def dense_topk(spark, sf_dir):
 def dense_topk_per_label(spark, sf_dir):
     """The two nearest vectors of each label."""
     v = table(spark, sf_dir, "embeddings")
-    labels = [r.label for r in v.select("label").distinct().orderBy("label").limit(1000).collect()]
-    parts = [D.top_k(v.where(F.col("label").eqNullSafe(F.lit(x))), v.where("vec_id % 20 = 0"), 2, "vec_id", "embedding", "vec_id", "embedding").withColumn("label", F.lit(x)) for x in labels]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("qid", "label", "key", "dense")
+    return D.top_k(v, v.where("vec_id % 20 = 0"), 2, "vec_id", "embedding", "vec_id", "embedding", by="label").select("qid", "label", "key", "dense")
 
 
 @query("near_dup_pairs", f"SELECT q.vec_id AS a, v.vec_id AS b, {_DOT} AS cosine FROM embeddings q, embeddings v WHERE q.vec_id < v.vec_id AND {_DOT} >= 0.35")
@@ -178,19 +174,14 @@ def llm_blend_stub(spark, sf_dir):
     """R11 with labels.quality in place of a model's scores."""
     docs, q = _docs(spark, sf_dir)
     quality = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("key")).agg(F.max("quality").cast("double").alias("llm"))
-    cands = retriever.candidates(docs, q, **TWIN)
-    scores = cands.select("qid", "key").join(quality, "key")
-    scored = rerank.score(cands, rerank.query_profile(docs, q, "item_id", "text"), retriever.passages(docs))
-    return rerank.best(rerank.blend(scored, scores)).select("qid", "key", "rank", "rerank")
+    return retriever.retrieve(docs, q, llm=quality, **TWIN).select("qid", "key", "rank", "rerank")
 
 
 @query("prior_blend", f"WITH {ranked_sql(True, 'round(cross * (0.75 + 0.25 * (1.0 / (1 + key % 7))), 8)')} SELECT qid, key, rank::INT AS rank, rerank FROM ranked")
 def prior_blend(spark, sf_dir):
     """A prior made from the key scales the score."""
     docs, q = _docs(spark, sf_dir)
-    scored = rerank.score(retriever.candidates(docs, q, **TWIN), rerank.query_profile(docs, q, "item_id", "text"), retriever.passages(docs))
-    scored = scored.withColumn("prior", 1.0 / (1 + F.col("key") % 7))
-    return rerank.best(rerank.blend(scored, prior="prior")).select("qid", "key", "rank", "rerank")
+    return retriever.retrieve(docs, q, prior=1.0 / (1 + F.col("key") % 7), **TWIN).select("qid", "key", "rank", "rerank")
 
 
 @query("relevance_floor_filter", f"WITH {RANKED}, {FLOOR} SELECT qid, key, rerank FROM fl")
@@ -253,7 +244,7 @@ def collection_union_topk(spark, sf_dir):
     """Two collections searched apart, then cut together."""
     docs, q = _docs(spark, sf_dir)
     talk = table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
-    one = lambda d, name: S.search(d, q, "item_id", "text", DEFAULT.sparse_k).withColumn("collection", F.lit(name))
+    one = lambda d, name: S.search(keep(S.index(d), "postings"), q, "item_id", "text", DEFAULT.sparse_k).withColumn("collection", F.lit(name))
     both = one(docs, "documents").unionByName(one(talk, "conversations"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("sparse_rank", "collection", "key"))
     return both.withColumn("r", rank).where("r <= 24").select("qid", "collection", "key", F.round(1 / (61 + F.col("sparse_rank")), 9).alias("fused"))
@@ -294,9 +285,10 @@ def ablation_by_mode(spark, sf_dir):
     """E-2."""
     docs, q = _docs(spark, sf_dir)
     v, a = E.md5_embed(docs), E.md5_embed(q, "item_id").withColumnRenamed("key", "qid")
+    indexed = keep(S.index(docs), "postings")
     pick = lambda d, mode, r: d.select(F.lit(mode).alias("mode"), "qid", "key", F.col(r).alias("r")).where("r < 5")
-    modes = pick(D.top_k(v, a, 5), "dense", "dense_rank").unionByName(pick(S.search(docs, q, "item_id", "text", 5), "bm25", "sparse_rank"))
-    modes = modes.unionByName(pick(retriever.candidates(docs, q, **TWIN), "rrf", "fused_rank")).unionByName(pick(_ranked(spark, sf_dir), "rerank", "rank"))
+    modes = pick(D.top_k(v, a, 5), "dense", "dense_rank").unionByName(pick(S.search(indexed, q, "item_id", "text", 5), "bm25", "sparse_rank"))
+    modes = modes.unionByName(pick(retriever.candidates(docs, q, indexed=indexed, **TWIN), "rrf", "fused_rank")).unionByName(pick(_ranked(spark, sf_dir), "rerank", "rank"))
     return rank_metrics(modes, gold_pairs(spark, sf_dir))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT
 from ..functions import text as T
-from ..operators import fusion, rerank
+from ..operators import fusion, rerank, sparse
+from ..shared import keep
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", title: str = "source", section: str = "lang") -> DataFrame:
@@ -19,8 +20,9 @@ def candidates(docs: DataFrame, queries: DataFrame, qid: str = "item_id", questi
     return fusion.cut_pool(fusion.pool(docs, queries, qid, question, config=config, **kw), 2 * config.rerank_top_n)
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, qid: str = "item_id", question: str = "text", config=DEFAULT, use_sparse: bool = True, llm: DataFrame | None = None, prior: str | None = None, **kw) -> DataFrame:
+def retrieve(docs: DataFrame, queries: DataFrame, qid: str = "item_id", question: str = "text", config=DEFAULT, use_sparse: bool = True, llm: DataFrame | None = None, prior: Column | None = None, **kw) -> DataFrame:
     """qid, key, rank, rerank, cross, coverage and the signals behind them: rerank_top_n rows a question."""
-    cands = candidates(docs, queries, qid, question, config, **kw)
-    scored = rerank.score(cands, rerank.query_profile(docs, queries, qid, question), passages(docs), use_sparse)
+    indexed = keep(sparse.index(docs), "postings")
+    cands = keep(candidates(docs, queries, qid, question, config, indexed=indexed, **kw), "candidates")
+    scored = rerank.score(cands, rerank.query_profile(indexed, queries, qid, question), passages(docs), use_sparse)
     return rerank.best(rerank.blend(scored, llm, prior, config.rerank_top_n), config.rerank_top_n)

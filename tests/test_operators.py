@@ -1,6 +1,9 @@
 """Operators on small inputs whose results are known."""
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from tessera.sources import Collection, read_json, read_markdown
 def test_bm25_counts_repeats_and_breaks_ties_by_key(spark):
     docs = spark.createDataFrame([(1, "pool pool limit"), (2, "pool"), (3, "pool"), (4, "cats")], "doc_id long, text string")
     q = spark.createDataFrame([(0, "pool limits")], "qid long, text string")
-    got = [(r.key, r.sparse_rank) for r in sparse.search(docs, q, "qid", "text", 10).orderBy("sparse_rank").collect()]
+    got = [(r.key, r.sparse_rank) for r in sparse.search(sparse.index(docs), q, "qid", "text", 10).orderBy("sparse_rank").collect()]
     assert got == [(1, 0), (2, 1), (3, 2)]
 
 
@@ -44,9 +47,74 @@ def test_embedder_gives_unit_vectors_and_zero_for_nothing(spark):
     assert abs(np.linalg.norm(got[1]) - 1) < 1e-6 and not got[2].any() and not got[3].any()
 
 
-def test_sections_keep_skipped_levels_positional():
-    found = list(chunking.sections("# A\n### B\nx\n### C\ny\n## D\nz\n"))
-    assert [p for p, _, _ in found] == [("A", "B"), ("A", "B", "C"), ("A", "D")]
+def test_sections_keep_skipped_levels_positional(spark):
+    md = "intro é\n# A\n### B\nx\n### C  \n\ny\n\nz\n## D\n\n#no heading\n"
+    d = spark.createDataFrame([("a.md", md), ("b.md", None), ("c.md", "only text")], "source string, markdown string")
+    got = [(r.source, r.path, r.section, r.char_start, r.body) for r in chunking.split_sections(d).orderBy("source", "sec_no").collect()]
+    at = lambda s: md.index(s) + len(s)
+    assert got == [
+        ("a.md", [], "Introduction", 0, "intro é"), ("a.md", ["A", "B"], "B", at("### B\n"), "x"), ("a.md", ["A", "B", "C"], "B > C", at("### C  \n"), "y\n\nz"),
+        ("a.md", ["A", "D"], "D", at("## D\n"), "#no heading"), ("c.md", [], "Introduction", 0, "only text"),
+    ]
+
+
+def plain_vector(words, dim, grams, kind):
+    """A text's vector, a feature at a time."""
+    digest, low, sign = embedding.HASHES[kind]
+    weight = {}
+    for w in words:
+        for f, x in embedding.word_features(w, grams):
+            weight[f] = weight.get(f, 0.0) + x
+    for a, b in zip(words, words[1:], strict=False):
+        weight[f"b:{a}_{b}"] = weight.get(f"b:{a}_{b}", 0.0) + 0.8
+    out = np.zeros(dim)
+    for f, x in weight.items():
+        h, x = digest(f), round(x, 6)
+        out[(h >> low & 0xFFFFFFFF) % dim] += (1 if h >> sign & 1 else -1) * (1 + np.log(x) if x >= 1 else x)
+    return out / (np.linalg.norm(out) or 1)
+
+
+@pytest.mark.parametrize("kind", ["blake2b", "md5"])
+def test_embedding_in_batches_equals_a_feature_at_a_time(monkeypatch, kind):
+    monkeypatch.setattr(embedding, "PIECE_WORDS", 40)
+    rng = np.random.default_rng(0)
+    vocab = ["deploy", "outage", "backup", "db", "x", "services", "naïve", "config_v2", "rollback"]
+    texts = [rng.choice(vocab, int(n)).tolist() for n in rng.integers(0, 30, 40)] + [None, [], ["x"] * 100]
+    got = embedding.embed_lists(pa.array(texts, pa.list_(pa.string())), 64, (3, 4, 5), kind)
+    assert np.abs(got - [plain_vector(t or [], 64, (3, 4, 5), kind) for t in texts]).max() < 1e-9
+
+
+def test_buckets_of_known_features():
+    """Golden values: bytes 0 to 3 of blake2b with 8 bytes, little-endian, give the bucket, the low bit of byte 4 the sign."""
+    h = embedding.HASHES["blake2b"][0]("w:deploy")
+    raw = hashlib.blake2b(b"w:deploy", digest_size=8).digest()
+    assert h & 0xFFFFFFFF == int.from_bytes(raw[:4], "little") and h >> 32 & 1 == raw[4] & 1
+    v = embedding.embed_words(["x"], 1024)
+    assert {int(k) for k in np.flatnonzero(v)} == {int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest()[:4], "little") % 1024 for f in ("w:x", "s:x", "c3:<x>")}
+
+
+def test_dense_search_in_cells_equals_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((90, 6))
+    v = spark.createDataFrame([(i, r.tolist(), int(i % 4)) for i, r in enumerate(x)], "key long, embedding array<double>, label int")
+    q = v.where("key < 25").select(F.col("key").alias("qid"), "embedding")
+    one = lambda **kw: sorted(map(tuple, dense.top_k(v, q, 3, **kw).collect()))
+    whole, by = one(), one(by="label")
+    pairs = sorted(map(tuple, dense.pairs_above(v, 0.5, "key", "embedding").collect()))
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(dense, "VECTOR_BLOCK", 40)
+    assert one() == whole and one(by="label") == by and len(by) == 25 * 4 * 3
+    assert sorted(map(tuple, dense.pairs_above(v, 0.5, "key", "embedding").collect())) == pairs and pairs
+
+
+def test_index_is_kept_up(spark):
+    """Adding, replacing and removing documents gives the index of what is left."""
+    d = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    old = sparse.index(d([(1, "deploy the service deploys"), (2, "database backups"), (3, None), (4, "")]))
+    now = sparse.with_added(sparse.without(old, spark.createDataFrame([(2,)], "key long")), d([(1, "rollback"), (9, "backup backup plan")]))
+    want = sparse.index(d([(1, "rollback"), (3, None), (4, ""), (9, "backup backup plan")]))
+    assert sorted(map(tuple, now.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert (9, 3, "backup", 2) in map(tuple, want.collect()) and sparse.stats(want).first().n == 4
 
 
 def test_chunks_overlap_and_end_in_their_section(spark):
