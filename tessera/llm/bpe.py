@@ -56,7 +56,7 @@ class Encoder:
     are ordinary text. Units are told apart by a 64-bit hash of their bytes and their length; two generations of at
     most most_units are remembered, so memory is bounded."""
 
-    def __init__(self, path: str, most_units: int = 200_000):
+    def __init__(self, path: str, most_units: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -81,10 +81,9 @@ class Encoder:
         if len(known) + len(keys) > self.most and len(known):
             self.old = self.young
             known, slots, ends, flat = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        all_keys = np.concatenate([known, keys])
-        all_slots = np.concatenate([slots, len(ends) - 1 + np.arange(len(keys))])
-        order = np.argsort(all_keys, kind="stable")
-        self.young = all_keys[order], all_slots[order], np.concatenate([ends, ends[-1] + ids_at]), np.concatenate([flat, ids])
+        order = np.argsort(keys, kind="stable")
+        at = np.searchsorted(known, keys[order])
+        self.young = np.insert(known, at, keys[order]), np.insert(slots, at, len(ends) - 1 + order), np.concatenate([ends, ends[-1] + ids_at]), np.concatenate([flat, ids])
 
     def _encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of single units, and the ends of each unit's ids."""

@@ -70,9 +70,7 @@ def coordinates(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     weight = np.log1p(times)
     starts = np.searchsorted(keys >> 16, np.arange(len(n)))
     size = np.sqrt(np.add.reduceat(weight * weight, starts))
-    out = np.empty((len(n), DIMS), np.float64)
-    for d in range(DIMS):
-        out[:, d] = np.add.reduceat(weight * _projection()[:, d][keys & 0xFFFF], starts)
+    out = np.add.reduceat(weight[:, None] * _projection()[keys & 0xFFFF], starts, axis=0)
     return out / size[:, None]
 
 
