@@ -59,7 +59,7 @@ def blend(scored: DataFrame, llm: DataFrame | None = None, prior: Column | None
     else:
         out = out.withColumn("rerank", F.col("cross"))
     if prior is not None:
-        out = out.withColumn("rerank", F.round(F.col("rerank") * (0.75 + 0.25 * F.coalesce(F.col(prior), F.lit(1.0))), 8))
+        out = out.withColumn("rerank", F.round(F.col("rerank") * (0.75 + 0.25 * F.coalesce(prior, F.lit(1.0))), 8))
     return out
 
 

@@ -85,6 +85,14 @@ def supersede(writes: DataFrame, user: str, slot: str, value: str, order: list[s
     return agg
 
 
+def history(writes: DataFrame, user: str, slot: str, value: str, order: list[str]) -> DataFrame:
+    """For each slot the values that were superseded, oldest first, joined by commas."""
+    after = F.lead(value).over(Window.partitionBy(user, slot).orderBy(*order))
+    gone = writes.withColumn("gone", F.coalesce(F.lower(F.trim(after)) != F.lower(F.trim(F.col(value))), F.lit(False)))
+    kept = F.sort_array(F.collect_list(F.when(F.col("gone"), F.struct(*order, F.col(value).alias("value")))))
+    return gone.groupBy(user, slot).agg(F.array_join(F.transform(kept, lambda x: x["value"]), ",").alias("history"))
+
+
 def prior(importance: Column, age_days: Column, half_life: float = DEFAULT.half_life_days) -> Column:
     """M5: importance times recency."""
     return importance * (0.5 + 0.5 * F.pow(F.lit(0.5), age_days / half_life))

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.words import RECALL_WORDS, STOPWORDS
 from ..operators import chunking, generate, remember as R, sessions as M
 from . import retriever
-from .registry import n_tokens, n_words, query, quoted, table, toks
+from .registry import n_tokens, n_words, norm, query, quoted, table, toks
 from .text_queries import content
 
 TURN = ["ts", "event_id"]
@@ -64,12 +64,12 @@ def upsert_latest(spark, sf_dir):
     return M.last_write(_events(spark, sf_dir), ["user_id", "event_type"], TURN).select("user_id", "event_type", "event_id", "value")
 
 
-@query("update_payload", f"SELECT e.event_id, coalesce(l.value, e.value) AS value FROM events e LEFT JOIN (SELECT user_id, event_type, value FROM events WHERE event_type = 'click' QUALIFY {_W} = 1) l USING (user_id, event_type)")
+@query("update_payload", f"SELECT e.event_id, l.value AS value FROM events e JOIN (SELECT user_id, event_type, value FROM events QUALIFY {_W} = 1) l USING (user_id, event_type)")
 def update_payload(spark, sf_dir):
-    """A key's payload is replaced by its newest one, for clicks."""
+    """Every key's payload is replaced by its newest one."""
     e = _events(spark, sf_dir)
-    new = M.last_write(e.where("event_type = 'click'"), ["user_id", "event_type"], TURN).select("user_id", "event_type", F.col("value").alias("new"))
-    return e.join(new, ["user_id", "event_type"], "left").select("event_id", F.coalesce("new", "value").alias("value"))
+    new = M.last_write(e, ["user_id", "event_type"], TURN).select("user_id", "event_type", F.col("value").alias("new"))
+    return e.join(new, ["user_id", "event_type"]).select("event_id", F.col("new").alias("value"))
 
 
 @query("delete_antijoin", "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 200)")
@@ -288,53 +288,78 @@ def efficiency_stats(spark, sf_dir):
 
 # ------------------------------------------------------------------- tasks
 
-_TASKS = (
-    (1, "u1", "Migrate billing", "in_progress", [("service manifest", True, "ok"), ("health checks", False, None), ("traffic cutover", False, None)], "blue/green", 3),
-    (2, "u1", "Rotate secrets", "done", [("list keys", True, None)], None, 2),
-    (3, "u2", "Write runbook", "in_progress", [("outline", True, None), ("review", False, None)], None, 1),
-)
-
+def _tasks(spark, sf_dir) -> DataFrame:
+    """A task for each user and event type, a step for each event; a step whose value is small is done."""
+    e = _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min("event_id").alias("task_id"), F.max("ts").alias("updated"), F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
+    steps = F.transform("e", lambda s, i: F.struct(F.concat(F.lit("step "), (i + 1).cast("string")).alias("name"), (s["value"] < 60).alias("done"), F.lit(None).cast("string").alias("note")))
+    t = e.select("task_id", F.col("user_id").alias("user"), F.col("event_type").alias("title"), steps.alias("steps"), "updated", F.lit(None).cast("string").alias("notes"))
+    return t.withColumn("status", M.task_status(F.col("steps")))
 
-def _tasks(spark) -> DataFrame:
-    return spark.createDataFrame(list(_TASKS), "task_id long, user string, title string, status string, steps array<struct<name:string,done:boolean,note:string>>, notes string, updated long")
 
+_STEPS = "t AS (SELECT min(event_id) AS task_id, user_id AS usr, event_type AS title, list(value < 60 ORDER BY ts, event_id) AS done, max(ts) AS updated FROM events GROUP BY user_id, event_type)"
+_STATUS = "CASE WHEN list_contains({d}, false) THEN 'in_progress' ELSE 'done' END"
+_DONE = "len(list_filter({d}, lambda d: d))"
 
-_STEPS = "t(task_id, usr, title, status, names, done, updated) AS (VALUES (1, 'u1', 'Migrate billing', 'in_progress', ['service manifest', 'health checks', 'traffic cutover'], [true, false, false], 3), (2, 'u1', 'Rotate secrets', 'done', ['list keys'], [true], 2), (3, 'u2', 'Write runbook', 'in_progress', ['outline', 'review'], [true, false], 1))"
 
-
-@query("open_tasks", f"WITH {_STEPS} SELECT usr AS user, title, row_number() OVER (PARTITION BY usr ORDER BY updated DESC)::INT AS place FROM t WHERE status <> 'done'")
+@query("open_tasks", f"WITH {_STEPS} SELECT usr AS user, title, row_number() OVER (PARTITION BY usr ORDER BY updated DESC, task_id)::INT AS place FROM t WHERE list_contains(done, false)")
 def open_tasks(spark, sf_dir):
     """F5."""
-    rank = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("updated")))
-    return _tasks(spark).where("status != 'done'").select("user", "title", rank.alias("place"))
+    rank = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("updated"), "task_id"))
+    return _tasks(spark, sf_dir).where("status != 'done'").select("user", "title", rank.alias("place"))
 
 
-@query("next_step", f"WITH {_STEPS} SELECT task_id, names[list_position(done, false)] AS next_step, len(list_filter(done, lambda d: d)) || '/' || len(done) AS progress FROM t")
+@query("next_step", f"WITH {_STEPS} SELECT task_id, 'step ' || list_position(done, false) AS next_step, {_DONE.format(d='done')} || '/' || len(done) AS progress FROM t")
 def next_step(spark, sf_dir):
     """W6, A11."""
     done = F.size(F.filter("steps", lambda s: s["done"])).cast("string")
-    return _tasks(spark).select("task_id", M.next_step(F.col("steps")).alias("next_step"), F.concat_ws("/", done, F.size("steps").cast("string")).alias("progress"))
+    return _tasks(spark, sf_dir).select("task_id", M.next_step(F.col("steps")).alias("next_step"), F.concat_ws("/", done, F.size("steps").cast("string")).alias("progress"))
 
 
-@query("complete_step", f"WITH {_STEPS}, d AS (SELECT task_id, list_transform(range(1, len(names) + 1), lambda i: done[i] OR names[i] IN ('review', 'health checks')) AS nd FROM t) SELECT task_id, len(list_filter(nd, lambda x: x))::INT AS n_done, CASE WHEN list_contains(nd, false) THEN 'in_progress' ELSE 'done' END AS status FROM d")
+@query("complete_step", f"WITH {_STEPS}, d AS (SELECT task_id, list_transform(range(1, len(done) + 1), lambda i: done[i] OR i <= 2) AS nd FROM t) SELECT task_id, {_DONE.format(d='nd')}::INT AS n_done, {_STATUS.format(d='nd')} AS status FROM d")
 def complete_step(spark, sf_dir):
-    """M13: 'review' and 'health checks' are done."""
-    steps = M.complete_step(M.complete_step(F.col("steps"), F.lit("review"), F.lit("done")), F.lit("health checks"), F.lit("done"))
-    t = _tasks(spark).select("task_id", steps.alias("steps"))
+    """The first two steps of every task are done."""
+    steps = M.complete_step(M.complete_step(F.col("steps"), F.lit("step 1"), F.lit("done")), F.lit("step 2"), F.lit("done"))
+    t = _tasks(spark, sf_dir).select("task_id", steps.alias("steps"))
     return t.select("task_id", F.size(F.filter("steps", lambda s: s["done"])).alias("n_done"), M.task_status(F.col("steps")).alias("status"))
 
 
-@query("render_tasks")
+@query("render_tasks", f"""WITH {_STEPS} SELECT task_id, '- ' || title || ' — ' || {_DONE.format(d='done')} || '/' || len(done) || ' steps done (status: ' || {_STATUS.format(d='done')} || ')' || chr(10)
+ || array_to_string(list_transform(range(1, len(done) + 1), lambda i: '    [' || CASE WHEN done[i] THEN 'x' ELSE ' ' END || '] step ' || i), chr(10)) || coalesce(chr(10) || '    next: step ' || list_position(done, false), '') AS text FROM t""")
 def render_tasks(spark, sf_dir):
     """T20."""
-    return _tasks(spark).select("task_id", T.render_task(F.col("title"), F.col("status"), F.col("steps"), F.col("notes")).alias("text"))
+    return _tasks(spark, sf_dir).select("task_id", T.render_task(F.col("title"), F.col("status"), F.col("steps"), F.col("notes")).alias("text"))
+
+
+@query("memory_recall", f"""WITH m AS (SELECT user_id, event_type, floor(value / 100)::INT AS v, {_PRIOR} AS prior, event_id, {_W} AS r FROM events),
+now AS (SELECT user_id, event_type, v FROM m WHERE r = 1),
+top AS (SELECT user_id, event_type, v FROM m WHERE r <= 3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY prior DESC, event_id) <= 3),
+p AS (SELECT n.user_id, n.event_type, coalesce(bool_or(t.v = n.v), false) AS found, coalesce(bool_or(t.v <> n.v), false) AS stale FROM now n LEFT JOIN top t USING (user_id, event_type) GROUP BY ALL)
+SELECT count(*) AS probes, round(avg(found::INT), 3) AS recall3, round(avg(stale::INT), 3) AS stale_rate FROM p""")
+def memory_recall(spark, sf_dir):
+    """E-6: each user is asked for the value of each slot; of the three memories that come up by prior, whether one holds the value
+    that stands now (recall), or one that has been superseded (stale). Memories are the last three writes of a slot."""
+    rank = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id")))
+    m = _prior(_events(spark, sf_dir)).select("user_id", "event_type", F.floor(F.col("value") / 100).cast("int").alias("v"), "prior", "event_id", rank.alias("r")).where("r <= 3")
+    now = m.where("r = 1").select("user_id", "event_type", F.col("v").alias("now"))
+    top = M.top_by_prior(m, "user_id", 3, "event_id").select("user_id", "event_type", "v")
+    p = now.join(top, ["user_id", "event_type"], "left").groupBy("user_id", "event_type").agg(F.coalesce(F.bool_or(F.col("v") == F.col("now")), F.lit(False)).alias("found"), F.coalesce(F.bool_or(F.col("v") != F.col("now")), F.lit(False)).alias("stale"))
+    mean = lambda c: F.round(F.avg(F.col(c).cast("int")), 3)
+    return p.agg(F.count(F.lit(1)).alias("probes"), mean("found").alias("recall3"), mean("stale").alias("stale_rate"))
+
+
+@query("slot_history", "WITH w AS (SELECT user_id, event_type AS slot, floor(value / 100)::INT::VARCHAR AS v, lag(floor(value / 100)::INT::VARCHAR) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS back, ts, event_id FROM events), k AS (SELECT *, lead(v) OVER (PARTITION BY user_id, slot ORDER BY ts, event_id) AS nxt FROM w) SELECT user_id, slot, coalesce(string_agg(v, ',' ORDER BY ts, event_id) FILTER (nxt IS NOT NULL AND nxt <> v), '') AS history FROM k GROUP BY ALL")
+def slot_history(spark, sf_dir):
+    """The values that each slot had before its present one, in the order in which they were superseded."""
+    e = _events(spark, sf_dir).withColumns({"slot": F.col("event_type"), "v": F.floor(F.col("value") / 100).cast("int").cast("string")})
+    return M.history(e, "user_id", "slot", "v", TURN)
 
 
 @query("task_progress")
 def task_progress(spark, sf_dir):
     """M15, T18, J10."""
     said = spark.createDataFrame([("u1", 1, "Done with the health check."), ("u2", 1, "Did we finish the review?"), ("u2", 2, "I've completed the review, finally.")], "user string, msg_id int, message string")
-    steps = _tasks(spark).where("status != 'done'").select("user", F.posexplode("steps").alias("step_no", "s")).where("NOT s.done").select("user", "step_no", "s.name")
+    open_ = spark.createDataFrame([("u1", [("service manifest", True), ("health checks", False), ("traffic cutover", False)]), ("u2", [("outline", True), ("review", False)])], "user string, steps array<struct<name:string,done:boolean>>")
+    steps = open_.select("user", F.posexplode("steps").alias("step_no", "s")).where("NOT s.done").select("user", "step_no", "s.name")
     return M.track_progress(said, steps)
 
 
@@ -365,25 +390,41 @@ def answer_questions(spark, sf_dir):
     return generate.answers(sources.join(q.select(F.col("item_id").alias("qid"), F.col("text").alias("question")), "qid"))
 
 
-_NEXT = "n AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations WHERE role = 'assistant')"
-_SETS = f"x AS (SELECT list_distinct({content('text')}) AS a, list_distinct({content('after')}) AS b FROM n WHERE after IS NOT NULL)"
+_ANSWERS = f"""a AS (SELECT conv_id, turn, text AS question, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS who, role FROM conversations),
+s AS (SELECT conv_id, turn, list_sort(list_distinct({content('question')})) AS q, list_distinct({content('answer')}) AS w, {norm('question')} AS said FROM a WHERE role = 'user' AND who = 'assistant'),
+k AS (SELECT *, md5(array_to_string(q, ' ')) AS h, list_slice(list_sort(q, 'DESC'), 1, 2) AS keys FROM s WHERE len(q) > 0),
+f AS (SELECT *, first_value(w) OVER o AS w1, first_value(said) OVER o AS said1, row_number() OVER o AS n FROM k WINDOW o AS (PARTITION BY h ORDER BY conv_id, turn)),
+x AS (SELECT CASE WHEN said = said1 THEN 'repeat' ELSE 'paraphrase' END AS variant, w, w1, len(list_intersect(keys, w)) = len(keys) AS ok, len(list_intersect(keys, w1)) = len(keys) AS ok1 FROM f WHERE n > 1)"""
 
 
-@query("consistency_pairs", f"WITH {_NEXT}, {_SETS} SELECT count(*) AS pairs, round(avg(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END), 6) AS jaccard, round(avg((list_contains(a, 'for') = list_contains(b, 'for'))::INT), 3) AS agreement FROM x")
+@query("consistency_pairs", f"WITH {_ANSWERS} SELECT variant, count(*) AS pairs, round(avg((ok = ok1)::INT), 3) AS agreement, round(avg((ok AND ok1)::INT), 3) AS both_correct, round(avg(CASE WHEN len(w) = 0 OR len(w1) = 0 THEN 0 ELSE len(list_intersect(w, w1)) / len(list_distinct(w || w1)) END), 6) AS jaccard FROM x GROUP BY variant")
 def consistency_pairs(spark, sf_dir):
-    """E-7, J11: neighbouring answers of a conversation."""
-    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    x = _talk(spark, sf_dir).where("role = 'assistant'").withColumn("after", after).where("after IS NOT NULL").select(T.content_set(F.col("text")).alias("a"), T.content_set(F.col("after")).alias("b"))
-    same = F.array_contains("a", "for") == F.array_contains("b", "for")
-    return x.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(T.jaccard(F.col("a"), F.col("b"))), 6).alias("jaccard"), F.round(F.avg(same.cast("int")), 3).alias("agreement"))
-
-
-@query("continuity_checks", "SELECT needle, count(*) AS turns, count(*) FILTER (contains(lower(text), needle)) AS passed FROM conversations, (SELECT unnest(['the', 'and', 'zzz']) AS needle) GROUP BY needle")
+    """E-7, J11, A12 by variant: answers to a question that was asked before, in the same words (repeat) or the same content words in
+    other ones (paraphrase), against the first answer. An answer is correct if it holds the question's two keywords."""
+    ahead = lambda c: F.lead(c).over(Window.partitionBy("conv_id").orderBy("turn"))
+    a = _talk(spark, sf_dir).withColumns({"answer": ahead("text"), "by": ahead("role")}).where("role = 'user' AND by = 'assistant'")
+    s = a.select("conv_id", "turn", F.array_sort(T.content_set(F.col("text"))).alias("q"), T.content_set(F.col("answer")).alias("w"), T.normalise(F.col("text")).alias("said")).where(F.size("q") > 0)
+    s = s.withColumns({"h": F.md5(F.array_join("q", " ")), "keys": F.slice(F.reverse("q"), 1, 2)})
+    # the first answer to a question is one row of a pre-aggregated group, joined back to the others
+    first = s.groupBy("h").agg(F.min(F.struct("conv_id", "turn", "w", "said")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "f")
+    x = s.join(first, "h").where("conv_id != f.conv_id OR turn != f.turn")
+    holds = lambda w: F.size(F.array_intersect("keys", w)) == F.size("keys")
+    x = x.select(F.when(F.col("said") == F.col("f.said"), "repeat").otherwise("paraphrase").alias("variant"), holds(F.col("w")).alias("ok"), holds(F.col("f.w")).alias("ok1"), T.jaccard(F.col("w"), F.col("f.w")).alias("j"))
+    mean = lambda c, n: F.round(F.avg(c), n)
+    return x.groupBy("variant").agg(F.count(F.lit(1)).alias("pairs"), mean((F.col("ok") == F.col("ok1")).cast("int"), 3).alias("agreement"), mean((F.col("ok") & F.col("ok1")).cast("int"), 3).alias("both_correct"), mean("j", 6).alias("jaccard"))
+
+
+@query("continuity_checks", f"""WITH f AS (SELECT conv_id, list_sort(list_transform(list_distinct({content('text')}), lambda w: printf('%04d', 9999 - length(w)) || w))[1][5:] AS needle FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
+c AS (SELECT conv_id, needle, coalesce(bool_or(role = 'assistant' AND list_contains({toks('text')}, needle)), false) AS passed FROM f JOIN conversations USING (conv_id) WHERE needle IS NOT NULL GROUP BY ALL)
+SELECT conv_id, needle, passed FROM c""")
 def continuity_checks(spark, sf_dir):
-    """E-8: needles that turns should hold; a fixed list, applied in one scan."""
-    checks = F.array(*[F.struct(F.lit(n).alias("needle"), F.contains(F.lower("text"), F.lit(n)).alias("ok")) for n in ("the", "and", "zzz")])
-    rows = _talk(spark, sf_dir).select(F.explode(checks).alias("c"))
-    return rows.groupBy("c.needle").agg(F.count(F.lit(1)).alias("turns"), F.count_if("c.ok").alias("passed"))
+    """E-8: whether what a user names first, the longest content word of the first message, comes up in a later answer."""
+    talk = _talk(spark, sf_dir)
+    first = talk.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    longest = F.get(F.array_sort(F.transform(T.content_set(F.col("text")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    first = first.select("conv_id", longest.alias("needle")).where("needle IS NOT NULL")
+    held = (F.col("role") == "assistant") & F.array_contains(T.tokens(F.col("text")), F.col("needle"))
+    return talk.join(first, "conv_id").groupBy("conv_id", "needle").agg(F.coalesce(F.bool_or(held), F.lit(False)).alias("passed"))
 
 
 # ---------------------------------------------------------------- chunking
@@ -407,7 +448,7 @@ def pages_as_markdown(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".md")).alias("source"), F.concat(F.lit("# "), head, F.lit("\n\n## Text\n\n"), body).alias("markdown"))
 
 
-@query("sections_split")
+@query("sections_split", f"SELECT 'page-' || page_id || '.md' AS source, 0 AS sec_no, t || ' / Text' AS path, 'Text' AS section, (length(t) + 12)::INT AS char_start FROM (SELECT page_id, trim({_TAGS.format(x=_HTML)}) AS t, list_filter(list_transform(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), lambda p: trim({_TAGS.format(x='p')})), lambda p: p <> '') AS ps FROM pages) WHERE len(ps) > 0")
 def sections_split(spark, sf_dir):
     """C1 on pages rendered as Markdown."""
     return chunking.split_sections(pages_as_markdown(spark, sf_dir)).select("source", "sec_no", F.array_join("path", " / ").alias("path"), "section", "char_start")

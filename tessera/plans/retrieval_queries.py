@@ -10,7 +10,7 @@ from ..operators import dense as D, embedding as E, fusion, optimize as O, reran
 from ..shared import keep
 from . import retriever
 from .registry import n_tokens, norm, query, table, toks
-from .text_queries import _PAIRS, _SYN, content, shared_term_pairs
+from .text_queries import _PAIRS, _SYN, contained, content
 
 STEM = "CASE WHEN length({t}) > 4 AND {t} LIKE '%s' AND {t} NOT LIKE '%ss' THEN left({t}, length({t}) - 1) ELSE {t} END"
 STEMMED = lambda x: f"list_transform({content(x)}, lambda z: {STEM.format(t='z')})"
@@ -100,6 +100,19 @@ def idf_table(spark, sf_dir):
     return df.crossJoin(F.broadcast(S.stats(indexed))).select("term", F.round(S.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
+_KEPT = POSTINGS.replace("FROM documents)", "FROM documents WHERE lang = 'de' OR doc_id % 10 <> 0)", 1)
+
+
+@query("index_upkeep", f"WITH {_KEPT} SELECT term, df, n, round(avgdl, 6) AS avgdl FROM df, st")
+def index_upkeep(spark, sf_dir):
+    """An index of the other languages, less every tenth document, with the German ones added; only these are tokenised for it."""
+    docs = table(spark, sf_dir, "documents")
+    old = keep(S.index(docs.where("lang != 'de' OR lang IS NULL")), "postings")
+    now = keep(S.with_added(S.without(old, docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("key"))), docs.where("lang = 'de'")), "postings")
+    df = S.postings(now).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.crossJoin(F.broadcast(S.stats(now))).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))  # one row
+
+
 @query("bm25_topk", f"WITH {BM25} SELECT qid, key, sparse, sparse_rank::INT AS sparse_rank FROM br WHERE sparse_rank < 5")
 def bm25_topk(spark, sf_dir):
     docs, q = _docs(spark, sf_dir)
@@ -271,7 +284,7 @@ def rank_metrics(ranked: DataFrame, gold: DataFrame) -> DataFrame:
 
 def gold_pairs(spark, sf_dir) -> DataFrame:
     """F8: a document is relevant for an item that it contains almost whole."""
-    return shared_term_pairs(spark, sf_dir).where("common >= 0.85 * nb").select(F.col("item_id").alias("qid"), F.col("doc_id").alias("key"))
+    return contained(spark, sf_dir).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("key"))
 
 
 @query("retrieval_metrics", f"WITH {_GOLD}, {BM25}, modes AS (SELECT 'bm25' AS mode, qid, key, sparse_rank AS r FROM br WHERE sparse_rank < 5), {_METRIC}")
@@ -280,6 +293,22 @@ def retrieval_metrics(spark, sf_dir):
     return rank_metrics(bm25_topk(spark, sf_dir).select(F.lit("bm25").alias("mode"), "qid", "key", F.col("sparse_rank").alias("r")), gold_pairs(spark, sf_dir))
 
 
+_VARIANTS = f"benchmark AS (SELECT item_id * 2 AS item_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda i: i % 3 <> 0), lambda i: ws[i]), ' ') FROM (SELECT item_id, {content('text')} AS ws FROM benchmark))"
+_SOURCES = "s AS (SELECT qid // 2 AS item, qid % 2 AS variant, list(key ORDER BY sparse_rank) AS keys FROM br WHERE sparse_rank < 5 GROUP BY ALL)"
+
+
+@query("source_consistency", f"WITH {_VARIANTS}, {BM25.strip()}, {_SOURCES} SELECT count(*) AS pairs, round(avg(len(list_intersect(a.keys, b.keys)) / len(list_distinct(a.keys || b.keys))), 6) AS source_jaccard, round(avg((a.keys[1] = b.keys[1])::INT), 3) AS same_best FROM s a JOIN s b ON a.item = b.item AND a.variant = 0 AND b.variant = 1")
+def source_consistency(spark, sf_dir):
+    """E-7, A12: sources of each question and of a paraphrase that has two of every three content words."""
+    docs, q = _docs(spark, sf_dir)
+    part = F.array_join(F.filter(T.content_tokens(F.col("text")), lambda w, i: (i + 1) % 3 != 0), " ")
+    asked = q.select((F.col("item_id") * 2).alias("item_id"), "text").unionByName(q.select((F.col("item_id") * 2 + 1).alias("item_id"), part.alias("text")))
+    found = S.search(keep(S.index(docs), "postings"), asked, "item_id", "text", 5)
+    s = found.groupBy(F.floor(F.col("qid") / 2).alias("item"), (F.col("qid") % 2).alias("variant")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sparse_rank", "key"))), lambda x: x["key"]).alias("keys"))
+    both = s.where("variant = 0").select("item", F.col("keys").alias("a")).join(s.where("variant = 1").select("item", F.col("keys").alias("b")), "item")
+    return both.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))), 6).alias("source_jaccard"), F.round(F.avg((F.get("a", F.lit(0)) == F.get("b", F.lit(0))).cast("int")), 3).alias("same_best"))
+
+
 @query("ablation_by_mode", f"WITH {_GOLD}, {RANKED}, {_MODES}, {_METRIC}")
 def ablation_by_mode(spark, sf_dir):
     """E-2."""
@@ -332,13 +361,11 @@ def context_metrics(spark, sf_dir):
 @query("optimiser_ablation")
 def optimiser_ablation(spark, sf_dir):
     """E-4: the same with stages switched off, one row a variant."""
-    items, gold = _items(spark, sf_dir), gold_pairs(spark, sf_dir).withColumn("g", F.lit(1))
+    items, gold = keep(_items(spark, sf_dir), "items"), keep(gold_pairs(spark, sf_dir).withColumn("g", F.lit(1)), "gold")
     variants = {"raw": dict(min_relevance=0.0, relative_floor=0.0, near=False), "absolute floor": dict(relative_floor=0.0, near=False), "relative floor": dict(near=False), "dedup": {}}
     out = None
     for name, kw in variants.items():
-        per = O.optimise(items, rows=True, **kw).join(gold, ["qid", "key"], "left").groupBy("qid").agg(F.avg(F.coalesce("g", F.lit(0))).alias("p"), F.sum("tokens").alias("t"))
-        row = per.agg(F.lit(name).alias("variant"), F.round(F.avg("p"), 3).alias("context_precision"), F.round(F.avg("t"), 1).alias("tokens"))
+        per = O.optimise(items, rows=True, **kw).join(gold, ["qid", "key"], "left").groupBy("qid").agg(F.avg(F.coalesce("g", F.lit(0))).alias("p"), F.max(F.coalesce("g", F.lit(0))).alias("s"), F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
+        row = per.agg(F.lit(name).alias("variant"), F.round(F.avg("p"), 3).alias("context_precision"), F.round(F.avg("s"), 3).alias("support"), F.round(F.avg("n"), 3).alias("items_after"), F.round(F.avg("t"), 1).alias("tokens"))
         out = row if out is None else out.unionByName(row)
     return out
-
-

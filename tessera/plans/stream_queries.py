@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import streaming as S
 from ..functions import text as T
+from ..shared import shared_dir
 from .registry import query
 
 
 def _checkpoint(spark) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/tessera').rstrip('/')}/streams"
+    return f"{shared_dir(spark)}/streams"
 
 
 _GAPS = """g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
 from ..functions.words import STOPWORDS, SYNONYMS
@@ -60,11 +60,24 @@ def shared_term_pairs(spark, sf_dir):
     return d.join(b, "w").groupBy("item_id", "doc_id", "nb", "nd").agg(F.count(F.lit(1)).alias("common"))
 
 
+def contained(spark, sf_dir, share: float = 0.85):
+    """Pairs (item_id, doc_id, nb, common) in which the document holds that share of the item's nb content terms. A document that lacks at most
+    m of them holds one of the m + 1 that fewest documents hold, so only these meet documents; the sets are compared after that."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.content_set(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.content_set(F.col("text")).alias("own"))
+    words, held = items.select("item_id", F.size("ws").alias("nb"), F.explode("ws").alias("w")), docs.select("doc_id", F.explode("own").alias("w"))
+    df = held.join(words.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "w"))
+    rare = words.join(df, "w", "left").na.fill(0, ["df"]).withColumn("place", place).where(F.col("place") <= F.col("nb") - F.ceil(share * F.col("nb") - 1e-9) + 1)
+    pairs = held.join(rare.select("item_id", "w"), "w").select("item_id", "doc_id").distinct()
+    common = F.size(F.array_intersect("ws", "own"))
+    met = pairs.join(items, "item_id").join(docs, "doc_id").select("item_id", "doc_id", F.size("ws").alias("nb"), common.alias("common"))
+    return met.where(F.col("common") >= share * F.col("nb"))
+
+
 @query("jaccard_bench_docs", _PAIRS + "SELECT item_id, doc_id, round(common / (nb + nd - common), 6) AS jaccard FROM p QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(common / (nb + nd - common), 6) DESC, doc_id) <= 3")
 def jaccard_bench_docs(spark, sf_dir):
     """The three documents most like each item."""
-    from pyspark.sql import Window
-
     p = shared_term_pairs(spark, sf_dir).select("item_id", "doc_id", F.round(F.col("common") / (F.col("nb") + F.col("nd") - F.col("common")), 6).alias("jaccard"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("jaccard"), "doc_id"))
     return p.withColumn("r", rank).where("r <= 3").drop("r")
@@ -73,8 +86,7 @@ def jaccard_bench_docs(spark, sf_dir):
 @query("containment_pairs", _PAIRS + "SELECT item_id, doc_id, round(common / nb, 6) AS containment FROM p WHERE common >= 0.85 * nb")
 def containment_pairs(spark, sf_dir):
     """Items that a document contains almost whole."""
-    p = shared_term_pairs(spark, sf_dir)
-    return p.where("common >= 0.85 * nb").select("item_id", "doc_id", F.round(F.col("common") / F.col("nb"), 6).alias("containment"))
+    return contained(spark, sf_dir).select("item_id", "doc_id", F.round(F.col("common") / F.col("nb"), 6).alias("containment"))
 
 
 @query("truncate_docs", rf"""

@@ -77,9 +77,9 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
-def markdown_report(metrics: DataFrame, title: str, most: int = 1000) -> str:
-    """A table of at most so many rows of metrics, as Markdown."""
-    rows = metrics.limit(most).collect()
+def markdown_report(metrics: DataFrame, title: str) -> str:
+    """A table of all rows of metrics, as Markdown; rows come to the driver a partition at a time."""
+    rows = metrics.toLocalIterator()
     head = metrics.columns
     lines = [f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
     return "\n".join(lines + ["| " + " | ".join(str(v) for v in r) + " |" for r in rows]) + "\n"

@@ -51,8 +51,19 @@ def working_memory(items: DataFrame, cap: int = 12, budget: int = 900) -> DataFr
 
 
 def drain(out: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what there is, and return the rows of its sink."""
-    spark, name = out.sparkSession, f"drained_{uuid.uuid4().hex}"
-    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+    """Run a stream over what there is, into a table of the shared folder, and return its rows: the last result of a stream in complete mode,
+    all rows of one in another mode. A batch that runs again replaces its own rows."""
+    spark, name = out.sparkSession, f"drained-{uuid.uuid4().hex}"
+    path = f"{checkpoint}/{name}/rows"
+    last: list[int] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        last.append(batch)
+
+    q = out.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not last:
+        return spark.createDataFrame([], out.schema)
+    rows = spark.read.parquet(path) if mode != "complete" else spark.read.parquet(f"{path}/batch={max(last)}")
+    return rows.select(*out.columns)

@@ -5,13 +5,16 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessera.functions import text
+from tessera.operators import remember
 from tessera.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: Cheap ones of every area; the driver compares all of them.
-CHOSEN = ["tokenize_docs", "truncate_docs", "containment_pairs", "bm25_topk", "hybrid_topk", "slot_supersession", "extract_memories", "plan_retrieval", "compaction_stats", "page_sections", "stream_sessionise", "stream_last_write"]
+CHOSEN = ["tokenize_docs", "truncate_docs", "containment_pairs", "bm25_topk", "hybrid_topk", "slot_supersession", "extract_memories", "plan_retrieval", "compaction_stats", "page_sections", "sections_split", "render_tasks", "slot_history", "memory_recall", "consistency_pairs", "continuity_checks", "index_upkeep", "dense_topk_per_label", "prior_blend", "stream_sessionise", "stream_last_write"]
 
 
 def cell(v):
@@ -38,8 +41,11 @@ def test_every_oracle_has_a_query():
 
 
 def test_stream_working_memory_equals_batch(spark):
-    stream = {r.session: r["items"] for r in QUERIES["stream_working_memory"](spark, SF).collect()}
-    assert stream and all(n <= 12 for n in stream.values())
+    stream = {(r.session, r["items"], r.tokens, r.evictions) for r in QUERIES["stream_working_memory"](spark, SF).collect()}
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    items = turns.select("conv_id", "turn", F.when(F.col("role") == "user", 2).otherwise(1).alias("priority"), text.count_tokens(F.col("text")).alias("tokens"))
+    batch = {(r.conv_id, r["items"], r.tokens, r.evictions) for r in remember.working_memory(items, "conv_id", "turn", 12, 900).collect()}
+    assert {x[:3] for x in stream} == {x[:3] for x in batch} and len(stream) == len(batch)
 
 
 def test_entry(spark):
