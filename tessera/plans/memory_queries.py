@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.words import RECALL_WORDS, STOPWORDS
 from ..operators import chunking, generate, remember as R, sessions as M
 from . import retriever
-from .registry import n_tokens, n_words, norm, query, quoted, table, toks
+from .registry import eviction, n_tokens, n_words, norm, query, quoted, table, toks, truncated
 from .text_queries import content
 
 TURN = ["ts", "event_id"]
@@ -196,7 +196,10 @@ def working_memory_cap(spark, sf_dir):
     return M.working_cap(e, "user_id", TURN).select("user_id", "event_id")
 
 
-@query("working_memory_budget")
+_ITEMS = "i AS (SELECT conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn AS pos, CASE role WHEN 'user' THEN 2 ELSE 1 END AS priority, {t} AS tokens FROM {s})"
+
+
+@query("working_memory_budget", f"WITH RECURSIVE {truncated('conversations', 'conv_id, turn', 'trim(text)', 220)}, {_ITEMS.format(t=n_tokens('short'), s='conversations JOIN cut USING (conv_id, turn)')}, {eviction('i')} SELECT session AS conv_id, len(s)::BIGINT AS items, list_sum(list_transform(s, lambda x: x.t))::BIGINT AS tokens, gone::BIGINT AS evictions, array_to_string(list_sort(list_transform(s, lambda x: x.at)), ',') AS turns FROM held")
 def working_memory_budget(spark, sf_dir):
     """W7, M14 with both limits, folded in order by session."""
     turns = _talk(spark, sf_dir).select("conv_id", "turn", F.when(F.col("role") == "user", 2).otherwise(1).alias("priority"), T.truncate_to_tokens(F.trim("text"), 220).alias("content"))

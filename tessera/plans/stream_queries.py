@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import streaming as S
 from ..functions import text as T
 from ..shared import shared_dir
-from .registry import query
+from .registry import eviction, n_tokens, query
 
 
 def _checkpoint(spark) -> str:
@@ -30,7 +30,7 @@ def stream_last_write(spark, sf_dir):
     return S.drain(S.last_values(S.stream(spark, sf_dir, "events.parquet")), "complete", _checkpoint(spark))
 
 
-@query("stream_working_memory")
+@query("stream_working_memory", f"WITH RECURSIVE i AS (SELECT conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn AS pos, CASE role WHEN 'user' THEN 2 ELSE 1 END AS priority, {n_tokens('text')} AS tokens FROM conversations), {eviction('i')} SELECT session, len(s)::BIGINT AS items, list_sum(list_transform(s, lambda x: x.t))::BIGINT AS tokens, gone::BIGINT AS evictions FROM held")
 def stream_working_memory(spark, sf_dir):
     """W7 online: a working memory for each conversation."""
     turns = S.stream(spark, sf_dir, "conversations.parquet")
