@@ -111,6 +111,11 @@ def citation(source: Column, section: Column) -> Column:
     return F.concat(source, F.lit(" § "), section)
 
 
+def memory_citation(kind: Column, key: Column, session: Column) -> Column:
+    """T11 of a memory; a session that isn't known is a question mark."""
+    return F.concat(kind, F.lit(":"), key.cast("string"), F.lit(" (session "), F.coalesce(session.cast("string"), F.lit("?")), F.lit(")"))
+
+
 def synonyms() -> Column:
     return F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), words_array(v))])
 

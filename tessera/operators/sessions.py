@@ -62,13 +62,20 @@ def compaction_split(messages: DataFrame, session: str, order: str, keep: int =
     return messages.withColumns({"live": live, "back": back}).withColumn("folded", (F.col("live") > after) & (F.col("back") > keep))
 
 
-def rolling_summary(folded: DataFrame, session: str, order: str, role: str, text: str, max_words: int = 90, clip: int = 16) -> DataFrame:
-    """A session's own user statements, clipped, oldest first, until the next would exceed max_words."""
+def rolling_summary(folded: DataFrame, session: str, order: str, role: str, text: str, max_words: int = 90, clip: int = 16, earlier: DataFrame | None = None) -> DataFrame:
+    """A session's own user statements, clipped, oldest first, until the next would exceed max_words. earlier (session, summary): what
+    had been folded before; it stands in front, and its words count."""
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
     said = folded.where(F.col(role) == "user").select(session, order, F.slice(words, 1, clip).alias("ws"))
     run = F.sum(F.size("ws")).over(Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    kept = said.withColumn("used", run).where(F.col("used") <= max_words)
-    return kept.groupBy(session).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "ws"))), lambda x: F.array_join(x["ws"], " ")), "; ").alias("summary"))
+    lines = lambda d: d.groupBy(session).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "ws"))), lambda x: F.array_join(x["ws"], " ")), "; ").alias("summary"))
+    said = said.withColumn("used", run)
+    if earlier is None:
+        return lines(said.where(F.col("used") <= max_words))
+    before = earlier.select(session, F.col("summary").alias("before")).where(F.coalesce("before", F.lit("")) != "")
+    taken = F.coalesce(T.word_count(F.col("before")), F.lit(0))
+    new = lines(said.join(before, session, "left").where(F.col("used") + taken <= max_words))
+    return before.join(new, session, "full").select(session, F.concat_ws("; ", "before", "summary").alias("summary"))
 
 
 def last_write(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

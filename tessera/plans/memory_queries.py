@@ -291,7 +291,7 @@ def efficiency_stats(spark, sf_dir):
 
 # ------------------------------------------------------------------- tasks
 
-def _tasks(spark, sf_dir) -> DataFrame:
+def task_table(spark, sf_dir) -> DataFrame:
     """A task for each user and event type, a step for each event; a step whose value is small is done."""
     e = _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min("event_id").alias("task_id"), F.max("ts").alias("updated"), F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
     steps = F.transform("e", lambda s, i: F.struct(F.concat(F.lit("step "), (i + 1).cast("string")).alias("name"), (s["value"] < 60).alias("done"), F.lit(None).cast("string").alias("note")))
@@ -308,21 +308,21 @@ _DONE = "len(list_filter({d}, lambda d: d))"
 def open_tasks(spark, sf_dir):
     """F5."""
     rank = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("updated"), "task_id"))
-    return _tasks(spark, sf_dir).where("status != 'done'").select("user", "title", rank.alias("place"))
+    return task_table(spark, sf_dir).where("status != 'done'").select("user", "title", rank.alias("place"))
 
 
 @query("next_step", f"WITH {_STEPS} SELECT task_id, 'step ' || list_position(done, false) AS next_step, {_DONE.format(d='done')} || '/' || len(done) AS progress FROM t")
 def next_step(spark, sf_dir):
     """W6, A11."""
     done = F.size(F.filter("steps", lambda s: s["done"])).cast("string")
-    return _tasks(spark, sf_dir).select("task_id", M.next_step(F.col("steps")).alias("next_step"), F.concat_ws("/", done, F.size("steps").cast("string")).alias("progress"))
+    return task_table(spark, sf_dir).select("task_id", M.next_step(F.col("steps")).alias("next_step"), F.concat_ws("/", done, F.size("steps").cast("string")).alias("progress"))
 
 
 @query("complete_step", f"WITH {_STEPS}, d AS (SELECT task_id, list_transform(range(1, len(done) + 1), lambda i: done[i] OR i <= 2) AS nd FROM t) SELECT task_id, {_DONE.format(d='nd')}::INT AS n_done, {_STATUS.format(d='nd')} AS status FROM d")
 def complete_step(spark, sf_dir):
     """The first two steps of every task are done."""
     steps = M.complete_step(M.complete_step(F.col("steps"), F.lit("step 1"), F.lit("done")), F.lit("step 2"), F.lit("done"))
-    t = _tasks(spark, sf_dir).select("task_id", steps.alias("steps"))
+    t = task_table(spark, sf_dir).select("task_id", steps.alias("steps"))
     return t.select("task_id", F.size(F.filter("steps", lambda s: s["done"])).alias("n_done"), M.task_status(F.col("steps")).alias("status"))
 
 
@@ -330,7 +330,7 @@ def complete_step(spark, sf_dir):
  || array_to_string(list_transform(range(1, len(done) + 1), lambda i: '    [' || CASE WHEN done[i] THEN 'x' ELSE ' ' END || '] step ' || i), chr(10)) || coalesce(chr(10) || '    next: step ' || list_position(done, false), '') AS text FROM t""")
 def render_tasks(spark, sf_dir):
     """T20."""
-    return _tasks(spark, sf_dir).select("task_id", T.render_task(F.col("title"), F.col("status"), F.col("steps"), F.col("notes")).alias("text"))
+    return task_table(spark, sf_dir).select("task_id", T.render_task(F.col("title"), F.col("status"), F.col("steps"), F.col("notes")).alias("text"))
 
 
 @query("memory_recall", f"""WITH m AS (SELECT user_id, event_type, floor(value / 100)::INT AS v, {_PRIOR} AS prior, event_id, {_W} AS r FROM events),

@@ -218,3 +218,43 @@ def test_upfront_keeps_all_preferences(spark):
     none = lambda s: spark.createDataFrame([], "user string, " + s)
     got = assistant.upfront(users, prefs, none("text string, updated int"), none("started int, summary string"), none("text string, kind string, prior double")).first()
     assert got["User profile & preferences"].split("\n") == [f"- k{i:02}: v" for i in range(60)]
+
+
+def test_summary_with_an_earlier_one_in_front(spark):
+    turns = spark.createDataFrame([("a", 1, "user", "one two three"), ("a", 2, "assistant", "no"), ("a", 3, "user", "four five"), ("b", 1, "user", "six"), ("c", 1, "assistant", "x")], "s string, n int, role string, text string")
+    earlier = spark.createDataFrame([("a", "seven eight"), ("c", "nine"), ("b", None)], "s string, summary string")
+    got = {r.s: r.summary for r in sessions.rolling_summary(turns, "s", "n", "role", "text", max_words=6, earlier=earlier).collect()}
+    assert got == {"a": "seven eight; one two three", "b": "six", "c": "nine"}
+
+
+def test_answers_acknowledge_recall_and_ground():
+    task = {"title": "Migrate billing", "done": 1, "total": 3, "following": "health checks"}
+    compose = generate.compose
+    assert compose("thanks") == "Noted." and compose("What is the limit?") == generate.NOTHING
+    assert compose("I prefer Go.", events=["Saved in long-term memory: User prefers Go."]) == "User prefers Go - noted for future sessions."
+    assert compose("Done with it.", events=["Marked task step done: outline", "Next step: review"], pinned=["Review needs two people. More."]) == "Marked 'outline' as done. Next up: review. For that step: Review needs two people. [P1]"
+    assert compose("Where did we leave off?", task=task) == "You're working on 'Migrate billing': 1 of 3 steps done, next step is 'health checks'."
+    assert compose("What do you remember about me?", memories=["User prefers Go", "Region is eu"]) == "From memory: User prefers Go; Region is eu [M]"
+    assert compose("What did we decide about Kafka?", memories=["Decision: use Kafka", "Region is eu"]).startswith("From memory: Decision: use Kafka [M]")
+    sources = ["The pool limit is forty connections. Pools close at night.", "The connection pool limit was raised to fifty."]
+    said = compose("What is the connection pool limit?", sources, concise=True)
+    assert "[S1]" in said and said.count("[S") <= 2 and "night" not in said
+    assert "[P1]" in compose("What is the connection pool limit?", pinned=sources[:1])
+
+
+def test_whole_turns(spark):
+    from tessera.plans import assistant
+
+    docs = spark.createDataFrame([(1, "The connection pool limit is forty.", "en", "guide"), (2, "Backups run at night.", "en", "guide")], "doc_id long, text string, lang string, source string")
+    steps = [("service manifest", True, None), ("health checks", False, None), ("pool limit", False, None)]
+    tasks = spark.createDataFrame([("u", "Migrate billing", steps, "in_progress", 3, None)], "user string, title string, steps array<struct<name:string,done:boolean,note:string>>, status string, updated int, notes string")
+    memories = spark.createDataFrame([("u", "User prefers Python", "preference", "pref:language", 0.5), ("v", "User prefers Rust", "preference", "pref:language", 0.9)], "user string, text string, kind string, slot string, prior double")
+    said = ["I prefer Go.", "I finished the health checks.", "What do you remember about my Python preference?", "What is the connection pool limit?", "thanks!"]
+    messages = spark.createDataFrame([(i, "u", t) for i, t in enumerate(said)], "qid long, user string, text string")
+    pinned = assistant.pinned_knowledge(tasks, docs)
+    sections = messages.select("qid").withColumn("User profile & preferences", F.lit("- style: concise"))
+    got = {r.qid: r for r in assistant.turns(messages, docs, sections, memories, tasks, pinned).collect()}
+    assert got[0].events == "Updated in long-term memory: User prefers Go" and got[0].answer == "User prefers Go - noted for future sessions."
+    assert got[1].events == "Marked task step done: health checks | Next step: pool limit" and got[1].intent == "update" and "Next up: pool limit." in got[1].answer
+    assert got[2].n_memories == 1 and "User prefers Python" in got[2].answer and "Rust" not in got[2].answer
+    assert "forty" in got[3].answer and got[4].answer == "Noted." and got[4].n_sources == 0
