@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, name: str = "
     docs = make_room(docs, name)
     own = docs.columns
     spark = docs.sparkSession
-    text_at, out = clean_name(docs, "toxicity_text"), docs.withColumn(clean_name(docs, "toxicity_text"), F.col("text"))
+    at = own.index("text")
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
     shared = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, name: str = "
         weights, bias = shared.value
         for batch in batches:
             z = np.zeros(batch.num_rows)
-            for i, j, data, offsets in chunks(batch.column(text_at)):
+            for i, j, data, offsets in chunks(batch.column(at)):
                 row, word, lo, hi = _distinct_words(data, offsets)
                 gram_word, bucket = _grams(data, lo, hi)
                 hit = weights[bucket] != 0
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, name: str = "
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(s)], [*own, name])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` double"])
-    return out.mapInArrow(tidy(scored), schema)
+    return docs.mapInArrow(tidy(scored), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
