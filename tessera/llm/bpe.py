@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,12 @@ def _classes() -> tuple[np.ndarray, ...]:
     return sure, alnum, sure & ~alnum & (b != 0x27)
 
 
+@lru_cache(None)
+def _marks() -> np.ndarray:
+    """The classes of each byte as bits 1, 2 and 4."""
+    return sum(c.astype(np.uint8) << np.uint8(k) for k, c in enumerate(_classes())).astype(np.uint8)
+
+
 def unit_starts(part: np.ndarray, rel: np.ndarray) -> np.ndarray:
     """Where units of the texts part[rel[i]:rel[i+1]] start. Only places where the pattern of byte-level BPE parts
     any text: a space beside visible ASCII, a single line feed's ends beside it, and between ASCII letters or digits and
@@ -37,7 +44,8 @@ def unit_starts(part: np.ndarray, rel: np.ndarray) -> np.ndarray:
     n = len(part)
     if not n:
         return np.zeros(0, np.int64)
-    sure, alnum, punct = (c[part] for c in _classes())
+    mark = _marks()[part]
+    sure, alnum, punct = (mark & np.uint8(bit) != 0 for bit in (1, 2, 4))
     edge = np.zeros(n, bool)  # of a text: neighbours across it don't count
     edge[rel[:-1][rel[:-1] < n]] = True
     before, after = np.zeros(n, bool), np.zeros(n, bool)
@@ -89,7 +97,7 @@ class Encoder:
         """Ids of single units, and the ends of each unit's ids."""
         found = [e.ids for e in self.tok.encode_batch([u.decode() for u in units], add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.uint32, int(n.sum())), np.cumsum(n)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), np.cumsum(n)
 
     @lru_cache(1)  # noqa: B019  one encoder lives as long as its process
     def _begins(self) -> np.ndarray:
@@ -103,7 +111,7 @@ class Encoder:
         """The same for units that begin with a space and have no other: they are joined for fewer calls, and told apart by their spaces."""
         joined = [b"".join(units[i : i + 128]).decode() for i in range(0, len(units), 128)]
         found = [e.ids for e in self.tok.encode_batch(joined, add_special_tokens=False)]
-        ids = np.fromiter((i for x in found for i in x), np.uint32, sum(map(len, found)))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
         starts = np.flatnonzero(self._begins()[ids])
         assert len(starts) == len(units)
         return ids, np.append(starts[1:], len(ids))
