@@ -79,6 +79,6 @@ def same_as_sql(spark, name, sf):
 ODD_TALK = ["Doñez ñta.", "Isóla da.", "recallé esto", "Thanks\n", "thanks!\n\n", "Is it on?\v", "What\vnow", "we deciſion", "İs", "thankſ", "What is it? ", "we use Go\u0085 and more", "We use Kafka.\r\nYes", "My name is Zoë", "I prefer goñ", "I prefer Go"]
 
 
-@pytest.mark.parametrize("name", ["plan_retrieval", "extract_memories"])
+@pytest.mark.parametrize("name", ["plan_retrieval", "intent_counts", "efficiency_stats", "extract_memories"])
 def test_rules_read_odd_texts_as_sql_does(spark, tmp_path, name):
     same_as_sql(spark, name, odd_tables(spark, tmp_path, ODD_TALK))
