@@ -15,9 +15,9 @@ from ..operators.sessions import evict
 
 
 def stream(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """A stream of Parquet files of a folder."""
+    """A stream of Parquet tables of a folder; each may be a file or a folder of files."""
     schema = spark.read.parquet(f"{path}/{glob}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
+    return spark.readStream.schema(schema).parquet(f"{path}/{{{glob}}}")  # in braces, as a stream takes one file by a pattern only
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:

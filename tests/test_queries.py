@@ -82,3 +82,8 @@ ODD_TALK = ["Doñez ñta.", "Isóla da.", "recallé esto", "Thanks\n", "thanks!\
 @pytest.mark.parametrize("name", ["plan_retrieval", "intent_counts", "efficiency_stats", "extract_memories"])
 def test_rules_read_odd_texts_as_sql_does(spark, tmp_path, name):
     same_as_sql(spark, name, odd_tables(spark, tmp_path, ODD_TALK))
+
+
+@pytest.mark.parametrize("name", ["stream_working_memory", "stream_last_write"])
+def test_streams_read_folders_and_files_as_sql_does(spark, tmp_path, name):
+    same_as_sql(spark, name, odd_tables(spark, tmp_path))
