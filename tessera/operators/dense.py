@@ -1,8 +1,9 @@
 """Exact dense search (R1, J4, J8) by matrix products of a block of queries and a block of vectors.
 
-Up to QUERY_BLOCK queries are one block that goes to all executors, and every task keeps its own k best, whatever the number of its
+Up to QUERY_BLOCK queries (fewer if they are long) are one block that goes to all executors, and every task keeps its own k best, whatever the number of its
 batches. More queries are dealt into blocks by hash, vectors into blocks too, and each pair of blocks is a cell of one task; neither
-side passes through the driver. A ranked window by query takes the best of what tasks or cells return.
+side passes through the driver. Products are made in tiles of bounded size, of which the hits alone are kept, so a task's memory doesn't
+grow with queries times vectors. A ranked window by query takes the best of what tasks or cells return.
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 1 << 16
+#: Rows of a block of queries and of one of vectors at most, numbers in a block at most, and numbers in a tile of products.
+QUERY_BLOCK, VECTOR_BLOCK, NUMBERS, TILE = 1 << 13, 1 << 14, 1 << 23, 1 << 21
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, kind=np.float64) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+    return np.asarray(column.flatten(), dtype=kind).reshape(len(column), -1)
 
 
 def _groups(by, n: int) -> list[np.ndarray]:
@@ -28,31 +30,62 @@ def _groups(by, n: int) -> list[np.ndarray]:
 
 
 def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k best scores of each row; ties by key."""
-    by_key = np.argsort(keys, kind="stable")
-    order = by_key[np.argsort(-scores[:, by_key], axis=1, kind="stable")[:, :k]]
-    return np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
+    """Rows and columns of the k best scores of each row; ties by key. scores are rounded in place."""
+    scores = np.round(scores, 6, out=scores)
+    if scores.shape[1] <= k:
+        return tuple(x.ravel() for x in np.indices(scores.shape))
+    if np.isnan(scores.sum()):
+        by_key = np.argsort(keys, kind="stable")
+        order = by_key[np.argsort(-scores[:, by_key], axis=1, kind="stable")[:, :k]]
+        return np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
+    last = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    taken = scores >= last
+    for r in np.flatnonzero(taken.sum(axis=1) > k):  # of those that tie for the last places the least keys
+        tied = np.flatnonzero(scores[r] == last[r])
+        spare = int(taken[r].sum()) - k
+        taken[r, tied[np.argsort(keys[tied], kind="stable")[len(tied) - spare :]]] = False
+    return np.nonzero(taken)
 
 
 def _meet(vectors: DataFrame, queries: DataFrame, key: str, vec: str, qid: str, qvec: str, by: str | None, choose, k: int | None = None) -> DataFrame:
-    """Rows (qid, key, by, dense) that choose(scores, keys, qids) marks; with k, the k best of a query and value of by in each task or cell."""
+    """Rows (qid, key, by, dense) that choose(scores, keys, qids) marks in a tile of products; with k, the k best of a query and value of by in each
+    task or cell."""
     kind = lambda d, c: d.schema[c].dataType.simpleString()
     own = [F.col(key).alias("key"), F.col(vec).alias("v"), (F.col(by) if by else F.lit(None).cast("string")).alias("by")]
     v = vectors.where(F.col(vec).isNotNull()).select(*own)
     q = queries.where(F.col(qvec).isNotNull()).select(F.col(qid).alias("qid"), F.col(qvec).alias("q"))
     schema = f"qid {kind(queries, qid)}, key {kind(vectors, key)}, by {kind(vectors, by) if by else 'string'}, dense double"
 
-    def hits(ids: pa.Array, wanted: np.ndarray, table: pa.Table) -> pa.Table:
-        keys, groups = table["key"].combine_chunks(), table["by"].combine_chunks()
-        scores = np.round(wanted @ _matrix(table["v"]).T, 6)
-        own = keys.to_numpy(zero_copy_only=False)
-        rows, cols = [], []
-        for some in _groups(groups if by else None, len(own)):
-            r, c = choose(scores[:, some], own[some], ids)
-            rows.append(r)
-            cols.append(some[c])
-        r, c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols))
-        return pa.table({"qid": ids.take(pa.array(r)), "key": keys.take(pa.array(c)), "by": groups.take(pa.array(c)), "dense": pa.array(scores[r, c])})
+    def tiles(ids: pa.Array, wanted: np.ndarray, table: pa.Table):
+        """Hits of each tile."""
+        high = max(1, min(len(ids), TILE // 1024))
+        wide = max(1, TILE // high)
+        for at in range(0, len(table), wide):
+            part = table.slice(at, wide)
+            keys, groups, vecs = part["key"].combine_chunks(), part["by"].combine_chunks(), _matrix(part["v"]).T
+            own = keys.to_numpy(zero_copy_only=False)
+            for top in range(0, len(ids), high):
+                some_ids, scores = ids.slice(top, high), wanted[top : top + high].astype(np.float64, copy=False) @ vecs
+                rows, cols = [], []
+                for some in _groups(groups, len(own)) if by else [slice(None)]:
+                    cut = scores[:, some]
+                    r, c = choose(cut, own[some], some_ids)
+                    rows.append(r)
+                    cols.append(some[c] if by else c)
+                    scores[:, some] = cut
+                r, c = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols))
+                yield pa.table({"qid": some_ids.take(pa.array(r)), "key": keys.take(pa.array(c)), "by": groups.take(pa.array(c)), "dense": pa.array(np.round(scores[r, c], 6))})
+
+    def gathered(found, n: int) -> list[pa.Table]:
+        """The k best of all tiles, or all hits."""
+        held, size = [], 0
+        for t in found:
+            held.append(t)
+            size += len(t)
+            if k is not None and size > max(1 << 18, 4 * k * n):
+                held = [fewer(held)]
+                size = len(held[0])
+        return [fewer(held)] if held and k is not None else held
 
     def fewer(held: list[pa.Table]) -> pa.Table:
         """The k best of a task's hits so far."""
@@ -67,31 +100,23 @@ def _meet(vectors: DataFrame, queries: DataFrame, key: str, vec: str, qid: str,
         place = np.arange(len(t)) - np.repeat(start, np.diff(np.append(start, len(t))))
         return t.filter(pa.array(place < k))
 
-    n = q.count()
-    if n <= QUERY_BLOCK:
+    n, dim = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    most = lambda rows: max(1, min(rows, NUMBERS // max(1, dim)))
+    if n <= most(QUERY_BLOCK):
         rows = q.toArrow()  # at most a block
-        shared = vectors.sparkSession.sparkContext.broadcast((rows["qid"].combine_chunks(), _matrix(rows["q"]) if n else None))
+        single = rows.schema.field("q").type.value_type == pa.float32()
+        shared = vectors.sparkSession.sparkContext.broadcast((rows["qid"].combine_chunks(), _matrix(rows["q"], np.float32 if single else np.float64) if n else None))
 
         def scan(batches):
             ids, wanted = shared.value
-            held, size = [], 0
-            for batch in batches:
-                if not batch.num_rows or wanted is None:
-                    continue
-                found = hits(ids, wanted, pa.Table.from_batches([batch]))
-                if k is None:
-                    yield from found.to_batches()
-                    continue
-                held.append(found)
-                size += len(found)
-                if size > 4 * k * len(ids):
-                    held = [fewer(held)]
-                    size = len(held[0])
-            if held:
-                yield from fewer(held).to_batches()
+            found = (t for batch in batches if batch.num_rows and wanted is not None for t in tiles(ids, wanted, pa.Table.from_batches([batch])))
+            if k is None:
+                yield from (b for t in found for b in t.to_batches())
+            else:
+                yield from (b for t in gathered(found, len(ids)) for b in t.to_batches())
 
         return v.mapInArrow(scan, schema)
-    blocks, parts = -(-n // QUERY_BLOCK), max(1, -(-v.count() // VECTOR_BLOCK))
+    blocks, parts = -(-n // most(QUERY_BLOCK)), max(1, -(-v.count() // most(VECTOR_BLOCK)))
     number = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = q.select(number("qid", blocks).alias("block"), every(parts).alias("part"), "qid", "q")
@@ -99,8 +124,9 @@ def _meet(vectors: DataFrame, queries: DataFrame, key: str, vec: str, qid: str,
 
     def cell(wanted: pa.Table, table: pa.Table) -> pa.Table:
         if not len(wanted) or not len(table):
-            return hits(pa.array([], wanted["qid"].type), np.zeros((0, 1)), table.slice(0, 0)) if len(wanted) else pa.table({f.name: pa.array([], f.type) for f in empty})
-        return hits(wanted["qid"].combine_chunks(), _matrix(wanted["q"]), table)
+            return empty.empty_table()
+        ids = wanted["qid"].combine_chunks()
+        return pa.concat_tables([empty.empty_table(), *gathered(tiles(ids, _matrix(wanted["q"], None), table), len(ids))])
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -121,8 +147,9 @@ def pairs_above(vectors: DataFrame, threshold: float, key: str, vec: str) -> Dat
     """A < b with cosine of at least the threshold (unit vectors)."""
 
     def above(scores, keys, ids):
-        r, c = np.nonzero(scores >= threshold)
-        keep = ids.to_numpy(zero_copy_only=False)[r] < keys[c]
+        # few products come near the threshold, and these alone are rounded
+        r, c = np.nonzero(scores >= threshold - 1e-6)
+        keep = (np.round(scores[r, c], 6) >= threshold) & (ids.to_numpy(zero_copy_only=False)[r] < keys[c])
         return r[keep], c[keep]
 
     found = _meet(vectors, vectors, key, vec, key, vec, None, above)

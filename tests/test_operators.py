@@ -258,3 +258,17 @@ def test_whole_turns(spark):
     assert got[1].events == "Marked task step done: health checks | Next step: pool limit" and got[1].intent == "update" and "Next up: pool limit." in got[1].answer
     assert got[2].n_memories == 1 and "User prefers Python" in got[2].answer and "Rust" not in got[2].answer
     assert "forty" in got[3].answer and got[4].answer == "Noted." and got[4].n_sources == 0
+
+
+def test_dense_products_are_made_in_tiles_of_bounded_size(spark):
+    """A cell or a batch never holds queries times vectors at once, and ties are still settled by key."""
+    v = spark.range(5000).select(F.col("id").alias("key"), F.array(F.lit(1.0), (1 + F.col("id") % 7).cast("double")).alias("embedding"))
+
+    def choose(scores, keys, ids):
+        assert scores.size <= 1 << 21
+        return dense._best(scores, keys, 3)
+
+    found = dense._meet(v, v, "key", "embedding", "key", "embedding", None, choose, 3)
+    assert {(r.qid, r.key) for r in found.where("qid in (8, 4999)").groupBy("qid", "key").count().collect()} >= {(q, k) for q in (8, 4999) for k in (6, 13, 20)}
+    top = dense.top_k(v, v.where("key % 50 = 1").withColumnRenamed("key", "qid"), 3).groupBy("key").count().collect()
+    assert {(r["key"], r["count"]) for r in top} == {(6, 100), (13, 100), (20, 100)}
