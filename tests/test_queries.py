@@ -94,3 +94,13 @@ def test_md5_rows_are_made_without_a_shuffle_of_features(spark, tmp_path):
     plan = QUERIES["md5_embed_docs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Generate" not in plan
     same_as_sql(spark, "md5_embed_docs", SF)
+
+
+def test_ablation_reads_documents_once_for_all_modes(spark, monkeypatch):
+    from tessera.operators import dense, sparse
+
+    calls = []
+    for module, name in ((sparse, "index"), (sparse, "search"), (dense, "top_k")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name, **kw: calls.append(n) or f(*a, **kw))
+    same_as_sql(spark, "ablation_by_mode", SF)
+    assert sorted(calls) == ["index", "search", "top_k"]
