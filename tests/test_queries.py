@@ -104,3 +104,14 @@ def test_ablation_reads_documents_once_for_all_modes(spark, monkeypatch):
         monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name, **kw: calls.append(n) or f(*a, **kw))
     same_as_sql(spark, "ablation_by_mode", SF)
     assert sorted(calls) == ["index", "search", "top_k"]
+
+
+def test_users_with_one_question_share_its_retrieval(spark, monkeypatch):
+    from tessera.plans import assistant, retriever
+
+    asked = []
+    monkeypatch.setattr(retriever, "retrieve", lambda docs, q, *a, f=retriever.retrieve, **kw: asked.append(q.count()) or f(docs, q, *a, **kw))
+    docs = spark.createDataFrame([(1, "the purchase of step 1 is late", "en", "web"), (2, "cats sleep", "en", "web")], "doc_id long, text string, lang string, source string")
+    tasks = spark.createDataFrame([(u, "purchase", [("step 1", False, None)], "in_progress", 5) for u in range(9)], "user long, title string, steps array<struct<name:string,done:boolean,note:string>>, status string, updated int")
+    got = assistant.pinned_knowledge(tasks, docs).collect()
+    assert asked == [1] and {r.user for r in got} == set(range(9)) and {(r.key, r.place) for r in got} == {(1, 1)}
