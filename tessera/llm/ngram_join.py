@@ -15,11 +15,13 @@ key, and a key's rows that even its least lead rules out go before anything else
 shingles come last in the order, link nothing by themselves. Keys that the same documents share then count as one group.
 
 Documents of a group are candidates; pairs that sizes or parity bits rule out go. Equal sets link by their digest, and a task
-indexes a set once however many copies it meets. Then every document is verified against the first document of the
-keys it shares, the one it shares most with; linked documents become components, and only pairs across components that share a
-key are looked at after that. Their rows carry a fixed number of parity bits, so the join that meets them rules nearly all out
-and hands on no pair that these bits tell apart. So a group of copies costs its size, not its square, and no link between
-components is lost; documents that are near each other, but not near enough, still meet pair by pair inside that join.
+indexes a set once however many copies it meets. Then every document is verified against a centre of its groups, the one it shares
+most keys with: a group's centre is its document of the least lead, which has fewest rare shingles of its own. Linked documents become
+components, and documents of groups that still hold several are tried against a centre of another component, one each a round, as long
+as that links many. Only pairs across components that share a key are looked at after that. Their rows carry a fixed number of
+parity bits, so the join that meets them rules nearly all out and hands on no pair that these bits tell apart. So a group of copies,
+near or equal, costs its size for most of its links, and no link between components is lost; documents that are near each
+other, but not near enough, still meet pair by pair inside that join, and those a few shingles short of a link come out of it.
 
 Frequencies of shingles for the cost order are counted over all documents in bounded summaries (a shingle missing from them
 counts as rare: dearer, never wrong). Keys that these find frequent are dealt out in several parts, and only their least lead
@@ -44,10 +46,12 @@ SHINGLE, PERCENT = 5, 75
 #: Sizes up to FIRST_BAND are parted into SEGMENTS * FIRST_BAND segments; each next band is BAND_STEP times as wide.
 FIRST_BAND, BAND_STEP, SEGMENTS = 1024, 8, 4
 HOT_KEPT, HOT_SHARE, HOT_ROWS = 1 << 15, 1 / 4000, 1 << 19
-#: Parity bits of a set: the least power of two that is no less than twice its size, and at least LEAST_BITS.
-FILTER_BITS, LEAST_BITS = 1 << 22, 512
+#: Parity bits of a set: the least power of two that is no less than BITS_EACH times its size, and at least LEAST_BITS.
+FILTER_BITS, LEAST_BITS, BITS_EACH = 1 << 22, 512, 8
 #: Parity bits that rows of candidate groups carry at most; documents that one key may gather in one part; sets that a task remembers.
-SKETCH_BITS, KEY_ROWS, REMEMBERED = 1024, 1 << 16, 100_000
+SKETCH_BITS, KEY_ROWS, REMEMBERED = 2048, 1 << 16, 100_000
+#: Documents are tried against centres of their groups again while a round links at least this share of what the first one did.
+NEXT_ROUND = 1 / 8
 _U = np.uint64
 
 
@@ -195,11 +199,13 @@ def survey(docs: DataFrame) -> DataFrame:
                 new = seen.new(digest)
                 counts.add(h[new[row]], int(new.sum()))
                 bits = np.full(rows, LEAST_BITS, np.int64)
-                while (low := bits < 2 * n).any():
+                while (low := bits < BITS_EACH * n).any():
                     bits[low] *= 2
                 begin = np.cumsum(bits) - bits
-                bucket = (mix(h ^ _U(0x2F0B4C47)) & (bits[row] - 1).astype(_U)).astype(np.int64)
-                odd = np.packbits((np.bincount(begin[row] + bucket, minlength=int(bits.sum())) & 1).astype(np.uint8)).view(np.int64)
+                bit = begin[row] + (mix(h ^ _U(0x2F0B4C47)) & (bits[row] - 1).astype(_U)).astype(np.int64)
+                odd = np.zeros(int(bits.sum()) // 8, np.uint8)
+                np.bitwise_xor.at(odd, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
+                odd = odd.view(np.int64)
                 few = np.minimum(bits, SKETCH_BITS)
                 short = [np.bitwise_xor.reduce(odd[a // 64 : (a + k) // 64].reshape(-1, f // 64), 0) for a, k, f in zip(begin.tolist(), bits.tolist(), few.tolist(), strict=True)]
                 none = pa.nulls(rows, pa.list_(pa.int64()))
@@ -356,6 +362,13 @@ def verify(pairs: DataFrame, texts: DataFrame, per_task: int = 256) -> DataFrame
     return dealt.mapInArrow(tidy(emit), "a long, b long")
 
 
+def open_groups(groups: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Rows of groups that hold several components, with c, the document's component, and the group's centre, its document of the least lead."""
+    rows = groups.withColumn("c", F.col("doc_id")) if found is None else groups.join(found, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    ends = rows.groupBy("group_id", "first").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("lead", "doc_id", "c")).alias("m")).where("c0 < c1")
+    return rows.join(ends.select("group_id", "first", F.col("m.doc_id").alias("centre"), F.col("m.c").alias("centre_c")), ["group_id", "first"])
+
+
 def links(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
     """node, component of every document that links with another one; surveyed: survey of docs."""
     scratch = Scratch()
@@ -368,22 +381,29 @@ def links(docs: DataFrame, surveyed: DataFrame) -> DataFrame:
     groups = shared_groups(docs, surveyed, scratch).join(same, "doc_id", "left").join(first, "first", "left")
     groups = groups.select("group_id", F.coalesce("rep_first", "first").alias("first"), F.coalesce("rep", "doc_id").alias("doc_id"), "lead", "n_keys")
     groups = scratch.cut(groups.groupBy("group_id", "first", "doc_id").agg(F.min("lead").alias("lead"), F.sum("n_keys").alias("n_keys")), "groups")
-    counted = groups.where("doc_id != first").groupBy("doc_id", "first").agg(F.sum("n_keys").alias("c"))
-    best = counted.groupBy("doc_id").agg(F.max_by("first", F.struct("c", -F.col("first"))).alias("a")).select("a", F.col("doc_id").alias("b"))
-    best = scratch.cut(could_link(best, known), "first-pairs")
-    sure = scratch.cut(verify(best, candidate_texts(docs, best, scratch)), "verified")
-    found = components(sure, "a", "b").select(F.col("node").alias("doc_id"), "component")
-    placed = scratch.cut(groups.join(found, "doc_id", "left").select("group_id", "first", "doc_id", "lead", F.coalesce("component", "doc_id").alias("c")), "placed")
-    open_ = placed.groupBy("group_id", "first").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("group_id", "first")
-    placed = placed.join(open_, ["group_id", "first"], "left_semi").join(known.select("doc_id", "n_shingles", "sketch").distinct(), "doc_id")
-    placed = scratch.cut(placed, "open-groups")
+    sure = tried = equal.select("a", "b").limit(0)
+    found, n_linked = None, []
+    while True:
+        counted = open_groups(groups, found).where("c != centre_c").groupBy("doc_id", "centre").agg(F.sum("n_keys").alias("n"))
+        counted = counted.withColumns({"a": F.least("doc_id", "centre"), "b": F.greatest("doc_id", "centre")}).join(tried, ["a", "b"], "left_anti")
+        best = counted.groupBy("doc_id").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("a")).select("a", F.col("doc_id").alias("b"))
+        best = scratch.cut(best, "first-pairs")
+        tried = tried.unionByName(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        near = scratch.cut(could_link(best, known), "near-pairs")
+        linked = scratch.cut(verify(near, candidate_texts(docs, near, scratch)), "verified")
+        sure = sure.unionByName(linked)
+        found = components(sure, "a", "b").select(F.col("node").alias("doc_id"), "component")
+        n_linked.append(linked.count())
+        if n_linked[-1] <= NEXT_ROUND * n_linked[0]:
+            break
+    placed = scratch.cut(open_groups(groups, found).drop("centre", "centre_c", "n_keys").join(known.select("doc_id", "n_shingles", "sketch").distinct(), "doc_id"), "open-groups")
     x, y = (placed.select("group_id", "first", *[F.col(c).alias(f"{k}_{c}") for c in ("doc_id", "lead", "n_shingles", "sketch", "c")]) for k in "xy")
     apart = (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_c") != F.col("y_c")) & (F.col("x_lead") + F.col("y_lead") <= 0)
     sizes = 100 * F.least("x_n_shingles", "y_n_shingles") >= PERCENT * F.greatest("x_n_shingles", "y_n_shingles")
     near = sketches_differ(F.col("x_sketch"), F.col("y_sketch")) <= _most("x_n_shingles", "y_n_shingles")
     met = (x["group_id"] == y["group_id"]) & (x["first"] == y["first"])
     across = x.join(y, met & apart & sizes & near).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
-    across = scratch.cut(across.join(best, ["a", "b"], "left_anti"), "met")
+    across = scratch.cut(across.join(tried, ["a", "b"], "left_anti"), "met")
     across = scratch.cut(could_link(across, known), "more-pairs")
     more = scratch.cut(verify(across, candidate_texts(docs, across, scratch)), "verified")
     out = components(sure.unionByName(more).unionByName(equal.select("a", "b")), "a", "b")
