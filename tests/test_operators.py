@@ -272,3 +272,34 @@ def test_dense_products_are_made_in_tiles_of_bounded_size(spark):
     assert {(r.qid, r.key) for r in found.where("qid in (8, 4999)").groupBy("qid", "key").count().collect()} >= {(q, k) for q in (8, 4999) for k in (6, 13, 20)}
     top = dense.top_k(v, v.where("key % 50 = 1").withColumnRenamed("key", "qid"), 3).groupBy("key").count().collect()
     assert {(r["key"], r["count"]) for r in top} == {(6, 100), (13, 100), (20, 100)}
+
+
+def test_pool_meets_documents_once_and_finds_what_two_searches_find(spark, monkeypatch):
+    from tessera.config import Config
+    from tessera.operators import both, fusion
+
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}{'s' * (i % 3)}x{'s' * (i % 2)}" for i in range(300)]
+    texts = [" ".join(rng.choice(vocab, int(n))) for n in rng.integers(0, 60, 400)] + [None, "", "the of"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:20]])], "doc_id long, text string")
+    q = spark.createDataFrame([(i, " ".join(rng.choice(vocab, 6)) if i else "the") for i in range(40)], "qid long, text string")
+    config, cols = Config(dense_k=7, sparse_k=5), ["qid", "key", "dense", "dense_rank", "sparse", "sparse_rank", "fused"]
+    rows = lambda d: sorted(map(tuple, d.select(*cols).collect()))
+    wanted = rows(fusion.pool(docs, q, "qid", "text", config=config, embed=embedding.Embedder("hashing", config.embed_dim).embed))
+    asked = []
+    monkeypatch.setattr(embedding, "hash_embed", lambda d, *a, f=embedding.hash_embed, **kw: asked.append(d.count()) or f(d, *a, **kw))
+    monkeypatch.setattr(both, "NUMBERS", 16 * config.embed_dim)
+    monkeypatch.setattr(both, "LEAST", 2)
+    got = rows(fusion.pool(docs, q, "qid", "text", config=config))
+    # documents are embedded inside the search, never as a table of vectors
+    assert asked == [40] and len(got) == len(wanted)
+    assert all(g[:2] == w[:2] and g[3] == w[3] and g[5] == w[5] and np.allclose([g[2], g[4], g[6]], [w[2], w[4], w[6]], atol=2e-6) for g, w in zip(got, wanted, strict=True))
+
+
+def test_optimiser_takes_texts_apart_from_items(spark):
+    texts = {1: "alpha beta gamma delta", 2: "alpha beta gamma delta epsilon", 3: "zeta eta theta. Iota kappa", 4: "nothing alike here"}
+    items = spark.createDataFrame([(0, k, t, "alpha", 0.9 - k / 10, 0.5) for k, t in texts.items()], "qid long, key long, text string, question string, rerank double, coverage double")
+    apart = optimize.optimise(items.drop("text"), rows=True, texts=spark.createDataFrame(list(texts.items()), "key long, text string"))
+    cols = ["qid", "key", "final_rank", "rerank", "text", "tokens"]
+    got, wanted = (sorted(map(tuple, d.select(*cols).collect())) for d in (apart, optimize.optimise(items, rows=True)))
+    assert got == wanted and len(got) > 1
